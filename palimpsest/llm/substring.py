@@ -45,9 +45,10 @@ def anchors(sym: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tupl
 
 
 def subtrees(suffixes: np.ndarray, limit: int = SUBTREE) -> Iterator[np.ndarray]:
-    """Groups of suffixes (rows of symbols) that share a prefix, none above ``limit`` unless all its symbols are equal.
+    """Groups of suffixes (rows of symbols) made of whole prefixes, none above ``limit`` unless all its suffixes are equal.
 
-    Prefixes have variable lengths: a group is split by one symbol more until it is small.
+    Prefixes have variable lengths: one that too many suffixes share is split by
+    one symbol more, and neighbouring small ones go together.
     """
     todo = [(np.arange(len(suffixes)), 0)]
     while todo:
@@ -56,23 +57,30 @@ def subtrees(suffixes: np.ndarray, limit: int = SUBTREE) -> Iterator[np.ndarray]
             yield rows
             continue
         o = rows[np.argsort(suffixes[rows, depth], kind="stable")]
-        for group in np.split(o, np.flatnonzero(np.diff(suffixes[o, depth])) + 1):
-            todo.append((group, depth + 1))
+        ends = np.r_[np.flatnonzero(np.diff(suffixes[o, depth])) + 1, len(o)]
+        at = 0
+        while at < len(o):
+            i = int(np.searchsorted(ends, at + limit, "right")) - 1
+            end = int(ends[i]) if i >= 0 else 0
+            if end > at:
+                yield o[at:end]
+            else:  # one prefix above the limit
+                end = int(ends[i + 1])
+                todo.append((o[at:end], depth + 1))
+            at = end
 
 
 def deep_nodes(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix tree's leaves in order, and for each the number of the deepest internal node over whole suffixes that holds it.
+    """The suffix tree's leaves in order, and for each the number of the node over its whole suffix.
 
-    Sorting gives the leaves; the longest common prefix of neighbours gives the
-    internal nodes: leaves under a node as deep as the suffixes are neighbours
-    whose common prefix is the whole.
+    Sorting gives the leaves; the common prefix of neighbours gives the internal
+    nodes: the leaves under a node as deep as the suffixes are neighbours whose
+    common prefix is the whole.
     """
-    o = np.lexsort(suffixes.T[::-1])
-    s = suffixes[o]
-    common = (s[1:] != s[:-1]).argmax(axis=1)
-    whole = (s[1:] == s[:-1]).all(axis=1)
-    depth = np.where(whole, suffixes.shape[1], common)
-    return o, np.r_[0, np.cumsum(depth < suffixes.shape[1])]
+    lines = np.ascontiguousarray(suffixes.astype(">u4"))
+    o = np.argsort(lines.view(f"S{lines.shape[1] * 4}").ravel(), kind="stable")
+    s = lines[o]
+    return o, np.r_[0, np.cumsum((s[1:] != s[:-1]).any(axis=1))]
 
 
 def later(suffixes: np.ndarray, doc: np.ndarray, place: np.ndarray, limit: int = SUBTREE) -> np.ndarray:
@@ -141,6 +149,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = texts.mapInArrow(places, "key long, doc_id long, place int")
     often = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    often = materialize(often, "substring")  # so that both sides of the join come from a shuffle that can be split
     shared = found.join(often, "key").select("doc_id", "place", (F.col("n") > hot).alias("hot"))
     per_doc = shared.groupBy("doc_id").agg(F.collect_list(F.when(F.col("hot"), -1 - F.col("place")).otherwise(F.col("place"))).alias("places"))
 

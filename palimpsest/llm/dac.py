@@ -28,17 +28,17 @@ from .common import fresh_path, materialize
 from .tokens import Encoder
 
 MAGIC, BITS, RANK = b"DAC1", 8, 512
-END_ID, TEXTS, SEGMENT = 2, 500, 4_000_000
+END_ID, TEXTS, SEGMENT = 2, 1000, 1_000_000
 ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1).astype(np.int64)
 
 
 def encode(ids: np.ndarray, starts: np.ndarray, docs: list[int | None], bits: int = BITS) -> bytes:
     """A file of ``ids``; document j begins at ``starts[j]``."""
     kind = np.dtype("u1") if bits == 8 else np.dtype("<u2")
-    left, levels = ids.astype(np.uint32), []
+    left, levels = ids.astype(np.uint32 if ids.max(initial=0) >> 16 else np.uint16), []
     while True:
-        chunk = (left & np.uint32((1 << bits) - 1)).astype(kind)
-        more = left >> np.uint32(bits)
+        chunk = (left & left.dtype.type((1 << bits) - 1)).astype(kind)
+        more = left >> left.dtype.type(bits) if bits < left.itemsize * 8 else np.zeros_like(left)
         goes = more > 0
         if not goes.any():
             levels.append(struct.pack("<Q", len(chunk)) + chunk.tobytes())
@@ -175,7 +175,8 @@ def read_ids(files: DataFrame, folder: str) -> DataFrame:
             for file, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 with fs.open_input_file(f"{root}/{file}") as f:
                     reader = Reader(f.read_buffer())
-                crc = [zlib.crc32(reader.document(j).astype("<u4").tobytes()) for j in range(len(reader.docs))]
+                ids, cuts = memoryview(reader.ids(0, reader.n).astype("<u4").tobytes()), (reader.starts * 4).tolist()
+                crc = [zlib.crc32(ids[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(reader.docs, pa.int64()), pa.array(reader.starts[:-1] + base), pa.array(np.diff(reader.starts)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # One row a file; files hold millions of ids.

@@ -9,7 +9,7 @@ import numpy as np
 
 from .common import worker_cache
 
-PIECES_KEPT, TOGETHER = 400_000, 1000
+PIECES_KEPT, TOGETHER = 250_000, 1000
 #: White space other than spaces and line feeds.
 RARE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Before a space that stands alone between two other characters, a pre-token ends.
@@ -59,16 +59,13 @@ class Encoder:
         """
         if self.words:
             return text.replace("\n", " ").split(" ")
-        if RARE.search(text):
+        # An empty text, or white space that is not one character between two others.
+        if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or RARE.search(text):
             return None
-        out = text.replace("\n", " \n").split(" ")
-        out[0] = "\n" + out[0]
-        if out[0] == "\n":  # an empty text, or one that starts with white space
-            return None
-        return None if "" in out or "\n" in out else out
+        return ("\n" + text.replace("\n", " \n")).split(" ")
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _ask(self, pieces: list[str]) -> None:
         """Ids of pieces that are not kept."""
@@ -76,7 +73,7 @@ class Encoder:
         space = "" if self.words else " "
         for i in range(0, len(plain), TOGETHER):
             some = plain[i : i + TOGETHER]
-            ids = np.array(self.tokenizer.encode(space + " ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([space + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.mark[ids])
             if len(at) == len(some):  # each word is one pre-token
                 ends = at + 1 if self.words else np.r_[at[1:], len(ids)]
@@ -93,7 +90,20 @@ class Encoder:
         if len(self.kept) > PIECES_KEPT:
             self.kept, self.older = {}, self.kept
         kept, older = self.kept, self.older
-        new = set().union(*(c for c in cut if c)) - kept.keys()
+        out: list[list[bytes] | None] = []
+        holes = []  # pieces are looked up once; those not kept are filled in later
+        for c in cut:
+            ids = None if c is None else list(map(kept.get, c))
+            out.append(ids)
+            if ids and None in ids:
+                i = ids.index(None)
+                while i >= 0:
+                    holes.append((ids, i, c[i]))
+                    try:
+                        i = ids.index(None, i + 1)
+                    except ValueError:
+                        i = -1
+        new = {p for _, _, p in holes}
         for p in new & older.keys():
             kept[p] = older[p]
         new -= kept.keys()
@@ -105,9 +115,10 @@ class Encoder:
         self._ask(list(new - kept.keys()))
         for p in tails:
             kept[p] = kept[p[:-1]] + stops[p[-1]]
-        get = kept.__getitem__
+        for ids, i, p in holes:
+            ids[i] = kept[p]
         skip = 0 if self.words else 4  # the line feed put before
-        return [self._uneven(t or "") if c is None else b"".join(map(get, c))[skip:] for t, c in zip(texts, cut, strict=True)]
+        return [self._uneven(t or "") if ids is None else b"".join(ids)[skip:] for t, ids in zip(texts, out, strict=True)]
 
     def _uneven(self, text: str) -> bytes:
         """Ids of a text with other white space: its parts are asked for as they are."""

@@ -28,7 +28,7 @@ from .common import fresh_path, materialize
 from .tokens import Encoder
 
 MAGIC, BITS, RANK = b"DAC1", 8, 512
-END_ID, TEXTS, SEGMENT = 2, 1000, 1_000_000
+END_ID, TEXTS, SEGMENT = 2, 1500, 1_000_000
 ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1).astype(np.int64)
 
 
@@ -98,14 +98,14 @@ class Reader:
 
     def ids(self, a: int, z: int) -> np.ndarray:
         """The ids at places a to z - 1; of the rest nothing is decoded."""
-        out = np.zeros(z - a, np.uint32)
-        where, shift = np.arange(z - a), 0
+        out, where, shift = self.levels[0][0][a:z].astype(np.uint32), None, 0
         for chunk, bitmap, directory in self.levels:
-            out[where] |= chunk[a:z].astype(np.uint32) << np.uint32(shift)
+            if shift:
+                out[where] |= chunk[a:z].astype(np.uint32) << np.uint32(shift)
             if bitmap is None or a == z:
                 break
             goes = np.unpackbits(bitmap[a // 8 : -(-z // 8)], bitorder="little")[a % 8 : a % 8 + z - a].astype(bool)
-            where = where[goes]
+            where = np.flatnonzero(goes) if where is None else where[goes]
             a = self._rank(bitmap, directory, a)
             z, shift = a + int(goes.sum()), shift + self.bits
         return out
@@ -151,7 +151,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, bit
         for b in batches:
             for a in range(0, b.num_rows, TEXTS):
                 some = b.slice(a, TEXTS)
-                for doc, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
+                for doc, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1)), strict=True):
                     held.append(ids + end)
                     names.append(doc)
                     size += len(ids) // 4 + 1

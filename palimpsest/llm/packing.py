@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .tokens import Encoder
 
-WINDOW, END_ID, TEXTS = 2048, 1, 1000
+WINDOW, END_ID, TEXTS = 2048, 1, 1500
 #: Windows that may be partially filled at once; more are closed early.
 OPEN = 8192
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -148,7 +148,7 @@ def pack(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WINDOW,
         for b in batches:
             for a in range(0, b.num_rows, TEXTS):
                 part = b.slice(a, TEXTS)
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
                     packer.add(doc, ids + end)
                 yield out()
         packer.finish()

@@ -6,12 +6,14 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import worker_cache
 
 PIECES_KEPT, TOGETHER = 250_000, 1000
-#: White space other than spaces and line feeds.
-RARE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: An empty text, or white space that is not one space or line feed between two other characters.
+UNEVEN = "\\A\\z|\\A[ \\n]|[ \\n]\\z|[ \\n][ \\n]|[\\t\\x{b}-\\r\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: Before a space that stands alone between two other characters, a pre-token ends.
 CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -50,19 +52,16 @@ class Encoder:
             cache["encoder", path, kind] = cls(path, kind)
         return cache["encoder", path, kind]
 
-    def pieces(self, text: str) -> list[str] | None:
-        """``text`` cut where pre-tokens end; None where that needs another way.
+    def pieces(self, texts: pa.StringArray) -> pa.ListArray:
+        """Texts cut where pre-tokens end.
 
         Words drop white space, so any space or line feed will do.  Byte-level
         pieces are words that follow one space, or one line feed, which they
         keep; one line feed is put before the text.
         """
         if self.words:
-            return text.replace("\n", " ").split(" ")
-        # An empty text, or white space that is not one character between two others.
-        if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or RARE.search(text):
-            return None
-        return ("\n" + text.replace("\n", " \n")).split(" ")
+            return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        return pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), ""), " ")
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -84,26 +83,13 @@ class Encoder:
         left = [p for p in pieces if p not in self.kept]
         self.kept.update(zip(left, self._library([p if p[:1] == "\n" else space + p for p in left]), strict=True))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; a null text is empty."""
-        cut = [self.pieces(t or "") for t in texts]
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, kept or asked for."""
         if len(self.kept) > PIECES_KEPT:
             self.kept, self.older = {}, self.kept
         kept, older = self.kept, self.older
-        out: list[list[bytes] | None] = []
-        holes = []  # pieces are looked up once; those not kept are filled in later
-        for c in cut:
-            ids = None if c is None else list(map(kept.get, c))
-            out.append(ids)
-            if ids and None in ids:
-                i = ids.index(None)
-                while i >= 0:
-                    holes.append((ids, i, c[i]))
-                    try:
-                        i = ids.index(None, i + 1)
-                    except ValueError:
-                        i = -1
-        new = {p for _, _, p in holes}
+        out = list(map(kept.get, pieces))
+        new = {p for p, v in zip(pieces, out, strict=True) if v is None}
         for p in new & older.keys():
             kept[p] = older[p]
         new -= kept.keys()
@@ -115,10 +101,33 @@ class Encoder:
         self._ask(list(new - kept.keys()))
         for p in tails:
             kept[p] = kept[p[:-1]] + stops[p[-1]]
-        for ids, i, p in holes:
-            ids[i] = kept[p]
+        return [kept[p] if v is None else v for p, v in zip(pieces, out, strict=True)]
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """Ids of each text; a null text is empty.
+
+        Arrow numbers the pieces of all texts, each distinct one is looked up
+        once, and numpy strings their ids together.
+        """
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not len(texts):
+            return []
+        odd = np.zeros(len(texts), bool) if self.words else pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+        cut = self.pieces(plain)
+        numbered = cut.flatten().dictionary_encode()
+        known = self._known(numbered.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        pool = np.frombuffer(b"".join(known), "<u4")
+        which = numbered.indices.to_numpy()
+        lengths = sizes[which]
+        ends = np.cumsum(lengths)
+        at = np.repeat((np.cumsum(sizes) - sizes)[which] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+        data = memoryview(pool[at].tobytes())
+        words = cut.offsets.to_numpy()
+        bounds = (np.r_[0, ends][words - words[0]] * 4).tolist()
         skip = 0 if self.words else 4  # the line feed put before
-        return [self._uneven(t or "") if ids is None else b"".join(ids)[skip:] for t, ids in zip(texts, out, strict=True)]
+        return [self._uneven(texts[i].as_py()) if o else bytes(data[a + skip : z]) for i, (o, a, z) in enumerate(zip(odd.tolist(), bounds, bounds[1:], strict=False))]
 
     def _uneven(self, text: str) -> bytes:
         """Ids of a text with other white space: its parts are asked for as they are."""

@@ -28,7 +28,9 @@ from .common import fresh_path, materialize
 from .tokens import Encoder
 
 MAGIC, BITS, RANK = b"DAC1", 8, 512
-END_ID, TEXTS, SEGMENT = 2, 1500, 1_000_000
+#: Files that one task reads, one after the other.
+FILES_EACH = 4
+END_ID, TEXTS, SEGMENT = 2, 1500, 2_000_000
 ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1).astype(np.int64)
 
 
@@ -182,7 +184,7 @@ def read_ids(files: DataFrame, folder: str) -> DataFrame:
     # One row a file; files hold millions of ids.
     base = F.sum("n_tokens").over(Window.orderBy("part", "segment").rowsBetween(Window.unboundedPreceding, -1))
     listed = files.select("file", F.coalesce(base, F.lit(0)).cast("long").alias("base"))
-    return listed.repartition(max(1, files.count()), "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.repartition(-(-files.count() // FILES_EACH) or 1, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_table(docs: DataFrame, path: str, end_id: int = END_ID, bits: int = BITS, segment: int = SEGMENT) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +64,25 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker process."""
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that few texts are Python objects at a time."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
+def worker_cache(owner: str) -> dict:
+    """A dictionary that lives as long as the Python worker process, for one owner at a time.
+
+    Workers serve one operator after another; what the last one kept is given
+    back to the system before the next begins.
+    """
     module = sys.modules.setdefault("palimpsest_worker_cache", types.ModuleType("palimpsest_worker_cache"))
-    return module.__dict__.setdefault("entries", {})
+    state = module.__dict__
+    if state.get("owner") != owner:
+        state["owner"], state["entries"] = owner, {}
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+    return state["entries"]

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sliced, worker_cache
 from .components import connected_components
 
 SEED = 42
@@ -37,7 +37,8 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp long) for each row of documents; fp holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        worker_cache("simhash")
+        for b in sliced(batches):
             fp = [simhash(t, width) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
@@ -122,7 +123,8 @@ def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
     i = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        worker_cache("simhash")
+        for b in sliced(batches):
             fp = np.array([simhash(t, width) for t in b.column(i).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], names=[*named, "fp"])
 

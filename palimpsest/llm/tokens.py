@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 
 from .common import worker_cache
 
-PIECES_KEPT, TOGETHER = 250_000, 1000
+PIECES_KEPT, TOGETHER = 150_000, 1000
 #: An empty text, or white space that is not one space or line feed between two other characters.
 UNEVEN = "\\A\\z|\\A[ \\n]|[ \\n]\\z|[ \\n][ \\n]|[\\t\\x{b}-\\r\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: Before a space that stands alone between two other characters, a pre-token ends.
@@ -47,10 +47,10 @@ class Encoder:
     @classmethod
     def of(cls, path: str, kind: str) -> Encoder:
         """This worker's encoder."""
-        cache = worker_cache()
-        if ("encoder", path, kind) not in cache:
-            cache["encoder", path, kind] = cls(path, kind)
-        return cache["encoder", path, kind]
+        cache = worker_cache(f"{kind} {path}")
+        if "encoder" not in cache:
+            cache["encoder"] = cls(path, kind)
+        return cache["encoder"]
 
     def pieces(self, texts: pa.StringArray) -> pa.ListArray:
         """Texts cut where pre-tokens end.

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import sliced, worker_cache
 
 #: Longest expression (a word's start mark and its first letters), absolute discount, and the bounds on learning rows.
 ORDER, DISCOUNT, MAX_TOXIC, ORDINARY_EACH = 8, 0.75, 1000, 5
@@ -22,7 +22,7 @@ CLASS_DISCOUNT = 3.0
 #: What a word's ratio must pass to count, and words of neutral text added to each length.
 MARGIN, NEUTRAL = 2.0, 10.0
 START, END = "\x02", "\x03"
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 
 
 @dataclass
@@ -191,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, order:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = (Counter(), Counter())
-        for b in batches:
+        for b in sliced(batches):
             for t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 sums[c].update(set((t or "").lower().split()))
         for c in (0, 1):
@@ -213,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, order:
 def _ratios(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     model = sent.value
     kept: dict[str, float] = {}
-    for b in batches:
+    for b in sliced(batches):
         yield pa.RecordBatch.from_arrays([b.column(1), pa.array([model.ratio(t, kept) for t in b.column(0).to_pylist()], pa.float64())], names=["toxic", "ratio"])
 
 
@@ -225,11 +225,9 @@ def score_texts(docs: DataFrame, model: KneserNey, cut: float = 0.7) -> DataFram
     fields = ", ".join(f"`{n}` {t.dataType.simpleString()}" for n, t in zip(named, docs.schema, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache()
-        if cache.get("toxicity") != mark:
-            cache.update(toxicity=mark, toxicity_words={})
-        model, kept = sent.value, cache["toxicity_words"]
-        for b in batches:
+        kept = worker_cache(f"toxicity {mark}").setdefault("words", {})
+        model = sent.value
+        for b in sliced(batches):
             scores = np.array([model.score(model.ratio(t, kept)) for t in b.column(i).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores), pa.array((scores >= cut).astype(np.int32))], names=[*named, "score", "predicted"])
 

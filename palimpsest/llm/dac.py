@@ -30,7 +30,7 @@ from .tokens import Encoder
 MAGIC, BITS, RANK = b"DAC1", 8, 512
 #: Files that one task reads, one after the other.
 FILES_EACH = 4
-END_ID, TEXTS, SEGMENT = 2, 1500, 2_000_000
+END_ID, TEXTS, SEGMENT = 2, 3000, 2_000_000
 ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1).astype(np.int64)
 
 

@@ -44,6 +44,35 @@ def anchors(sym: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tupl
     return h.view(np.int64), least + np.arange(n - window + 1)
 
 
+def marks(grams: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> np.ndarray:
+    """A 64-bit mark of each window's whole words, from the hashes of the expressions that cover it."""
+    g, n = grams.view(np.uint64), len(grams) + anchor - window
+    out = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in (*range(0, window - anchor, anchor), window - anchor):
+            out = (out ^ g[at : at + n]) * np.uint64(0xD6E8FEB86659FD93)
+            out ^= out >> np.uint64(32)
+    return out
+
+
+def packed(low: np.ndarray, mark: np.ndarray, first: int, end: int, window: int = WINDOW) -> bytes:
+    """A segment's windows first to end - 1: 16 bits of each word, then the 64-bit mark of each window."""
+    return low[first : end + window - 1].tobytes() + mark[first:end].tobytes()
+
+
+def n_windows(segment: bytes, window: int = WINDOW) -> int:
+    """Windows of a packed segment."""
+    return (len(segment) - 2 * (window - 1)) // 10
+
+
+def unpacked(segments: list[bytes], window: int = WINDOW) -> np.ndarray:
+    """The suffixes of packed segments, one row a window: its words' symbols and its mark."""
+    counts = [n_windows(s, window) for s in segments]
+    words = np.concatenate([np.lib.stride_tricks.sliding_window_view(np.frombuffer(s, "<u2", n + window - 1), window) for s, n in zip(segments, counts, strict=True)])
+    ends = np.concatenate([np.frombuffer(s, "<u2", 4 * n, 2 * (n + window - 1)) for s, n in zip(segments, counts, strict=True)])
+    return np.hstack([words, ends.reshape(-1, 4)])
+
+
 def subtrees(suffixes: np.ndarray, limit: int = SUBTREE) -> Iterator[np.ndarray]:
     """Groups of suffixes (rows of symbols) made of whole prefixes, none above ``limit`` unless all its suffixes are equal.
 
@@ -77,8 +106,8 @@ def deep_nodes(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     nodes: the leaves under a node as deep as the suffixes are neighbours whose
     common prefix is the whole.
     """
-    lines = np.ascontiguousarray(suffixes.astype(">u4"))
-    o = np.argsort(lines.view(f"S{lines.shape[1] * 4}").ravel(), kind="stable")
+    lines = np.ascontiguousarray(suffixes.astype(suffixes.dtype.newbyteorder(">")))
+    o = np.argsort(lines.view(f"S{lines.shape[1] * lines.itemsize}").ravel(), kind="stable")
     s = lines[o]
     return o, np.r_[0, np.cumsum((s[1:] != s[:-1]).any(axis=1))]
 
@@ -125,7 +154,8 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
        dealt by anchor, so equal windows meet.  An anchor with more than
        ``hot`` places deals its windows singly, by all their words, so no
        frequent expression gathers in one task.
-    3. A task turns its segments into suffixes of ``window`` words, splits them by
+    3. A task turns its segments into suffixes of ``window`` words and an end
+       mark (so two different windows agree with a probability of 2**-64), splits them by
        variable-length prefixes into groups of at most ``subtree``, and builds
        each group's tree; under its deep nodes all leaves but the
        first are later occurrences.
@@ -175,14 +205,15 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 h, m = anchors(sym, window, anchor)
                 given = np.array(at)
                 single = np.isin(m, -1 - given[given < 0])
-                low = (sym & np.uint64(0xFFFFFFFF)).astype("<u4")
+                low, mark = sym.astype("<u2"), marks(h, window, anchor).astype("<u8")
                 firsts = np.r_[0, np.flatnonzero(np.diff(m)) + 1]
                 wanted = np.isin(m[firsts], given[given >= 0])
                 ends = np.r_[firsts[1:], len(m)]
                 pairs = list(zip(firsts[wanted].tolist(), ends[wanted].tolist(), h[m[firsts[wanted]]].tolist(), strict=True))
-                pairs += [(a, a + 1, xxhash.xxh64_intdigest(low[a : a + window].tobytes()) >> 1) for a in np.flatnonzero(single).tolist()]
+                alone = np.flatnonzero(single)
+                pairs += [(a, a + 1, key) for a, key in zip(alone.tolist(), (mark[alone] >> np.uint64(1)).tolist(), strict=True)]
                 for a, z, key in pairs:
-                    seg = low[a : z + window - 1].tobytes()
+                    seg = packed(low, mark, a, z, window)
                     was, now = held.get((key, seg)), (doc, a, tie, z + window - 1)
                     if was is None:
                         held[key, seg] = now
@@ -214,12 +245,12 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "tie", "first", "last"])
 
         def build() -> list[tuple]:
-            rows = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(s, "<u4"), window) for s, *_ in bundle]
-            counts = np.array([len(r) for r in rows])
-            at = np.repeat(np.arange(len(rows)), counts)
+            suffixes = unpacked([s for s, *_ in bundle], window)
+            counts = np.array([n_windows(s, window) for s, *_ in bundle])
+            at = np.repeat(np.arange(len(bundle)), counts)
             start = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
             doc, first = (np.array([x[i] for x in bundle], np.int64)[at] for i in (1, 3))
-            over = later(np.concatenate(rows), doc, first + start, subtree)
+            over = later(suffixes, doc, first + start, subtree)
             ranges = []
             line = at * (1 << 32) + start  # runs never pass from one segment to the next
             for a, z in _runs(line[over]):
@@ -239,7 +270,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                     bundle, size = [], 0
                 last_key = key
                 bundle.append((seg, doc, tie, first))
-                size += len(seg) // 4 - window + 1
+                size += n_windows(seg, window)
             yield out(done)
         if bundle:
             yield out(build())

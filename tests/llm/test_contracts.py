@@ -340,3 +340,21 @@ def test_op10_random_words(spark):
     docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
     for window in (6, 8):
         same(rows(substring.substring_dedup(docs, window=window, anchor=3, hot=5, subtree=10)), brute.without_repeats(data, window))
+
+
+def test_op10_windows_that_share_most_symbols():
+    words = [f"w{i}".encode() for i in range(200_000)]
+    sym = substring.symbols(words)
+    by_low = defaultdict(list)
+    for i, low in enumerate(sym.astype("<u2").tolist()):
+        by_low[low].append(i)
+    a, b = next(x for x in by_low.values() if len(x) > 1)[:2]  # two words of one 16-bit symbol
+    lines = [[*range(1000, 1010), x, *range(1011, 1020)] for x in (a, b, a)]
+    segments = []
+    for line in lines:
+        own = sym[line]
+        grams, _ = substring.anchors(own)
+        segments.append(substring.packed(own.astype("<u2"), substring.marks(grams).astype("<u8"), 0, 1))
+    rows = substring.unpacked(segments)
+    assert (rows[0][:20] == rows[1][:20]).all() and [substring.n_windows(s) for s in segments] == [1, 1, 1]
+    assert substring.later(rows, np.array([1, 2, 3]), np.zeros(3, int)).tolist() == [False, False, True]

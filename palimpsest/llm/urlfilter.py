@@ -14,8 +14,11 @@ SHORT = 8
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    """(verdict, host, path) rows as a table."""
-    return spark.createDataFrame([tuple(r) for r in rules], "verdict string, host string, path string")
+    """(verdict, host, path) rows as a table of literals, whose size the planner knows."""
+    values = {f"v{i}_{j}": x for i, r in enumerate(rules) for j, x in enumerate(r)}
+    lines = ", ".join(f"(:v{i}_0, :v{i}_1, :v{i}_2)" for i in range(len(rules))) or "(cast(null as string), cast(null as string), cast(null as string))"
+    table = spark.sql(f"SELECT * FROM VALUES {lines} AS rules(verdict, host, path)", args=values or None)
+    return table if rules else table.where("false")
 
 
 def url_parts(url: str = "url") -> tuple[str, str]:

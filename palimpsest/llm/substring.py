@@ -155,7 +155,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
        ``hot`` places deals its windows singly, by all their words, so no
        frequent expression gathers in one task.
     3. A task turns its segments into suffixes of ``window`` words and an end
-       mark (so two different windows agree with a probability of 2**-64), splits them by
+       mark (so two different windows agree with a probability of about 2**-64), splits them by
        variable-length prefixes into groups of at most ``subtree``, and builds
        each group's tree; under its deep nodes all leaves but the
        first are later occurrences.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -107,28 +107,32 @@ def simhash_dedup(docs: DataFrame, width: int = 3) -> DataFrame:
     return fps.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
-    """All columns of ``docs``, one row of each near-duplicate group: that of the least doc_id.
-
-    Of rows that repeat that doc_id and fingerprint, any one stays; a group
-    without any doc_id keeps one row.
-    """
+def keep_least(docs: DataFrame, fps: DataFrame, groups: DataFrame, mark: Callable[[bytes | None], int], owner: str) -> DataFrame:
+    """The row of least doc_id of each group, all columns; ``mark`` gives a text's fp as a signed long."""
     named = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*named)  # extra columns may have any name
     at = {c: n for c, n in zip(docs.columns, named, strict=True)}
-    fps, groups = near_duplicate_groups(docs.select("doc_id", "text"), width)
     lows = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
     stay = lows.join(groups, "fp").where("low <=> component_id").groupBy("root").agg(F.min_by("low", "fp").alias("low"), F.min("fp").alias("fp"))
     fields = ", ".join(f"`{n}` {t.dataType.simpleString()}" for n, t in zip(named, docs.schema, strict=True))
     i = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache("simhash")
+        worker_cache(owner)
         for b in sliced(batches):
-            fp = np.array([simhash(t, width) for t in b.column(i).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], names=[*named, "fp"])
+            fp = pa.array([mark(t) for t in b.column(i).cast(pa.binary()).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, fp], names=[*named, "fp"])
 
     rows = plain.mapInArrow(run, f"{fields}, fp long").alias("d")
     one = F.col(f"d.{at['doc_id']}").cast("long").eqNullSafe(F.col("s.low")) & (F.col("d.fp") == F.col("s.fp"))
     kept = rows.join(stay.alias("s"), one).select(*[F.col(f"d.{n}") for n in named], F.col("s.root").alias("root"))
     return kept.dropDuplicates(["root"]).select(*[F.col(n).alias(c) for c, n in at.items()])
+
+
+def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
+    """All columns of ``docs``, one row of each near-duplicate group: that of the least doc_id.
+
+    Of rows that repeat that doc_id and fingerprint, any one stays; a group
+    without any doc_id keeps one row.
+    """
+    return keep_least(docs, *near_duplicate_groups(docs.select("doc_id", "text"), width), lambda t: int(np.uint64(simhash(t, width)).view(np.int64)), "simhash")

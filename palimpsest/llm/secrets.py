@@ -20,9 +20,12 @@ CLASSES = (
     ("entropy_base64", "A-Za-z0-9+/_-", 24, 3.9, ("[0-9].*[0-9]", "[A-Z].*[A-Z]", "[a-z].*[a-z]")),
 )
 #: Candidates that are no secrets: placeholders, alphabets and keyboards in order, UUIDs, paths and snake_case or dashed words.
-ALLOW = r"(?i)example|sample|placeholder|dummy|changeme|xxxx|0123456789|1234567890|abcdefgh|qwerty|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^[a-z]*([/_-][a-z]*)+$|^[/_-]?[a-z0-9]{0,11}([/_-][a-z0-9]{0,11})+$"
+SHAPES = r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^[a-z]*([/_-][a-z]*)+$|^[/_-]?[a-z0-9]{0,11}([/_-][a-z0-9]{0,11})+$"
+NAMES = r"example|sample|placeholder|dummy|changeme|xxxx|0123456789|1234567890|abcdefgh|qwerty"
+ALLOW = f"(?i){NAMES}|{SHAPES.removeprefix('(?i)')}"
 #: Entropy is kept in millionths of a bit times the window, as integers: sums of counts leave no rounding behind.
 UNIT = 1_000_000
+NONE_HOT = "cast(array() as array<struct<first:int,last:int>>)"
 
 
 def _spans(text: str, pattern: str, kind: str, rank: int, least: str = "true") -> str:
@@ -51,7 +54,7 @@ def base_spans(text: str = "text") -> list[tuple[str, str]]:
 
 
 def _hot(candidate: str, chars: str, window: int, bits: float) -> str:
-    """SQL: struct (first, last) places where a window of ``candidate`` has at least ``bits`` a character, or null.
+    """SQL: array of (first, last), the maximal stretches of ``candidate`` whose windows have at least ``bits`` a character.
 
     Each step adds a character's count and takes off that of the one that
     leaves; n * log2(n) summed over the counts gives the entropy.
@@ -66,33 +69,49 @@ def _hot(candidate: str, chars: str, window: int, bits: float) -> str:
         "aggregate(array(named_struct('c', {code}, 'g', {gone})), a, (b, s) -> if(s.c = s.g, b, named_struct("
         "'n', transform(b.n, (x, j) -> x + if(j = s.c, 1, 0) - if(j = s.g, 1, 0)),"
         " 'sum', b.sum + {logs}[b.n[s.c] + 1] - {logs}[b.n[s.c]] + if(s.g < 0, 0L, {logs}[b.n[s.g] - 1] - {logs}[b.n[s.g]]),"
-        " 'first', b.first, 'last', b.last)), b -> if(i >= {window} and b.sum <= {most}, named_struct('n', b.n, 'sum', b.sum, 'first', coalesce(b.first, i - {window}), 'last', i), b))"
+        " 'first', b.first, 'last', b.last, 'out', b.out)), b -> if(i >= {window} and b.sum <= {most}, if(b.last >= i - {window},"
+        " named_struct('n', b.n, 'sum', b.sum, 'first', b.first, 'last', i, 'out', b.out),"
+        " named_struct('n', b.n, 'sum', b.sum, 'first', i - {window}, 'last', i, 'out', if(b.last is null, b.out, concat(b.out, array(named_struct('first', b.first, 'last', b.last)))))), b))"
     ).format(code=code, gone=gone, logs=logs, window=window, most=most)
-    start = "named_struct('n', array_repeat(0, 128), 'sum', 0L, 'first', cast(null as int), 'last', cast(null as int))"
-    return f"if({count} < {window}, null, aggregate(sequence(1, {count}), {start}, (a, i) -> {step}, a -> if(a.first is null, null, named_struct('first', a.first, 'last', a.last))))"
+    start = "named_struct('n', array_repeat(0, 128), 'sum', 0L, 'first', cast(null as int), 'last', cast(null as int), 'out', {empty})".format(empty=NONE_HOT)
+    return f"if({count} < {window}, {NONE_HOT}, aggregate(sequence(1, {count}), {start}, (a, i) -> {step}, a -> if(a.last is null, a.out, concat(a.out, array(named_struct('first', a.first, 'last', a.last))))))"
 
 
 def entropy_spans(kind: str, chars: str, window: int, bits: float, holds: tuple[str, ...], rank: int, text: str = "text") -> str:
-    """SQL: spans of one character class: whole runs of its characters, from the first to the last window of high entropy."""
+    """SQL: spans of one character class: in whole runs of its characters, each stretch of windows of high entropy.
+
+    A stretch that the allow list names is searched again by its parts between
+    slashes and listed names, so a placeholder does not hide a secret beside it.
+    """
     run = f"(?<![{chars}])[{chars}]{{{window},}}+"
     allow = "'" + ALLOW.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    shape = "'" + SHAPES + "'"
     must = " and ".join(f"x.body rlike '{h}'" for h in holds)
-    spans = _spans(text, run, kind, rank, f"{must} and not x.body rlike {allow}")
-    hot = _hot("x.body", chars, window, bits)
-    moved = "transform({spans}, x -> named_struct('x', x, 'h', {hot}))".format(spans=spans, hot=hot)
-    return f"transform(filter({moved}, y -> y.h is not null), y -> named_struct('start', y.x.start + y.h.first, 'rank', {rank}, 'end', y.x.start + y.h.last, 'kind', '{kind}', 'body', ''))"
+    moved = f"transform({_hot('x.body', chars, window, bits)}, h -> named_struct('at', x.start + h.first, 'body', substring(x.body, h.first + 1, h.last - h.first)))"
+    found = f"flatten(transform({_spans(text, run, kind, rank, must + f' and not x.body rlike {shape}')}, x -> {moved}))"
+    part = _spans("y.body", f"(?:(?!(?i:{NAMES}))[^/]){{{window},}}+", kind, rank, f"{must} and not x.body rlike {allow}")
+    parts = f"flatten(transform({part}, x -> transform({_hot('x.body', chars, window, bits)}, h -> named_struct('at', y.at + x.start + h.first, 'body', substring(x.body, h.first + 1, h.last - h.first)))))"
+    kept = f"flatten(transform({found}, y -> if(y.body rlike {allow}, {parts}, array(y))))"
+    return f"transform({kept}, y -> named_struct('start', y.at, 'rank', {rank}, 'end', y.at + length(y.body), 'kind', '{kind}', 'body', ''))"
 
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with columns _assign, _access, _hex (arrays of spans) and _more, the spans that entropy adds.
 
-    A span that meets a base span, or an earlier class's, is not added.
+    Of a span that meets base spans, or an earlier class's, what they leave is
+    added, unless it holds no letter or digit.
     """
     out = docs.withColumns({f"_{k}": F.expr(sql) for k, sql in base_spans(text)})
     out = out.withColumn("_more", F.expr("concat(_assign, _access, _hex)"))
+    piece = "named_struct('start', {a}, 'rank', x.rank, 'end', {z}, 'kind', x.kind, 'body', '')"
     for rank, c in enumerate(CLASSES, 3):
         new = entropy_spans(*c, rank, text)
-        out = out.withColumn("_more", F.expr(f"concat(_more, filter({new}, x -> not exists(_more, y -> x.start < y.end and y.start < x.end)))"))
+        left = (
+            "aggregate(array_sort(filter(_more, y -> x.start < y.end and y.start < x.end)), named_struct('at', x.start, 'out', filter(array(x), w -> false)),"
+            f" (a, y) -> named_struct('at', greatest(a.at, y.end), 'out', if(y.start > a.at, concat(a.out, array({piece.format(a='a.at', z='y.start')})), a.out)),"
+            f" a -> if(x.end > a.at, concat(a.out, array({piece.format(a='a.at', z='x.end')})), a.out))"
+        )
+        out = out.withColumn("_more", F.expr(f"concat(_more, filter(flatten(transform({new}, x -> {left})), x -> substring({text}, x.start + 1, x.end - x.start) rlike '[0-9A-Za-z]'))"))
     return out.withColumn("_more", F.expr("filter(_more, x -> x.rank >= 3)"))
 
 

@@ -17,16 +17,20 @@ from pyspark.sql import functions as F
 
 #: ASCII white space separates words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Whether Spark deletes a job's shuffle files when the job ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is made and set.
+    Only where the session names none and all runs on one machine (tests) a
+    temporary folder is made and set; a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="palimpsest-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -40,11 +44,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
-    This cuts the lineage at a table that outlives any executor.
+    This cuts the lineage at a table that outlives any executor, so the shuffle
+    files of the job that wrote it go with the job.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)
     out._palimpsest_path = path
     return out

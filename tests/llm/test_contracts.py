@@ -329,7 +329,7 @@ def test_op9_redact(spark):
 @pytest.mark.parametrize("which", ["table", "odd", "hot"])
 def test_op10_substring(spark, which):
     docs = table(spark, "documents") if which == "table" else odd(spark)
-    how = {"hot": 1, "subtree": 2} if which == "hot" else {}
+    how = {"group": 1, "subtree": 2} if which == "hot" else {}
     same(rows(substring.substring_dedup(docs, **how)), brute.without_repeats(texts(docs)))
     assert rows(substring.substring_dedup(empty(spark))) == []
 
@@ -339,22 +339,41 @@ def test_op10_random_words(spark):
     data = [(int(i), " ".join("ab"[x] for x in rng.integers(0, 2, rng.integers(0, 60)))) for i in range(40)]
     docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
     for window in (6, 8):
-        same(rows(substring.substring_dedup(docs, window=window, anchor=3, hot=5, subtree=10)), brute.without_repeats(data, window))
-
-
-def test_op10_windows_that_share_most_symbols():
-    words = [f"w{i}".encode() for i in range(200_000)]
-    sym = substring.symbols(words)
-    by_low = defaultdict(list)
-    for i, low in enumerate(sym.astype("<u2").tolist()):
-        by_low[low].append(i)
-    a, b = next(x for x in by_low.values() if len(x) > 1)[:2]  # two words of one 16-bit symbol
-    lines = [[*range(1000, 1010), x, *range(1011, 1020)] for x in (a, b, a)]
-    segments = []
-    for line in lines:
-        own = sym[line]
-        grams, _ = substring.anchors(own)
-        segments.append(substring.packed(own.astype("<u2"), substring.marks(grams).astype("<u8"), 0, 1))
-    rows = substring.unpacked(segments)
-    assert (rows[0][:20] == rows[1][:20]).all() and [substring.n_windows(s) for s in segments] == [1, 1, 1]
-    assert substring.later(rows, np.array([1, 2, 3]), np.zeros(3, int)).tolist() == [False, False, True]
+        same(rows(substring.substring_dedup(docs, window=window, expression=3, group=5, subtree=10)), brute.without_repeats(data, window))
+
+
+def test_op10_tree():
+    rng = np.random.default_rng(2)
+    rows = rng.integers(0, 3, (500, 5)).astype(np.int32)
+    order, common = substring.tree(rows)
+    lines = [tuple(rows[i]) for i in order]
+    assert lines == sorted(map(tuple, rows))
+    assert common.tolist() == [0] + [next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), 5) for a, b in zip(lines, lines[1:])]
+    for depth in (1, 3, 5):
+        node = substring.deep_nodes(common, depth).tolist()
+        assert all((x == y) == (a[:depth] == b[:depth]) for x, y, a, b in zip(node, node[1:], lines, lines[1:]))
+    groups = list(substring.subtrees(rows, 20))
+    assert sorted(np.concatenate(groups).tolist()) == list(range(500))
+    assert all(len(g) <= 20 or len({tuple(rows[i]) for i in g}) == 1 for g in groups)
+
+
+def test_op10_leading_expressions():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9, rng.integers(0, 40))) for _ in range(30)] + ["", " ", None]
+    words = substring.Words(__import__("pyarrow").array(texts))
+    first, end, place, key, sym = substring.segments_of(words, 8, 3)
+    assert len(sym) == sum(len(brute.words(t)) for t in texts)
+    seen = {}
+    for a, z, p, k in zip(first, end, place, key):
+        for s in range(a, z):
+            assert s <= p <= s + 5 and seen.setdefault(sym[s : s + 8].tobytes(), (k, p - s)) == (k, p - s)
+    assert sum(end - first) == sum(max(0, len(brute.words(t)) - 7) for t in texts)
+
+
+def test_op10_very_long_text(spark):
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in rng.integers(0, 50_000, 150_000)]
+    long = " ".join(base + base[1000:1030] + base[:25])
+    data = [(1, long), (2, " ".join(base[70_000:70_100])), (2, "other " + " ".join(base[10:60])), (3, "x " * 400_000), (4, "no white space" * 60_000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    same(rows(substring.substring_dedup(docs)), brute.without_repeats(data))

@@ -1,71 +1,103 @@
-"""Toxicity by class-conditional Kneser-Ney models of the characters that begin words."""
+"""Toxicity by class-conditional Kneser-Ney models of words, spelled out, and of the expressions they make."""
 
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, worker_cache
+from .common import materialize, release, sliced, worker_cache
 
-#: Longest expression (a word's start mark and its first letters), absolute discount, and the bounds on learning rows.
-ORDER, DISCOUNT, MAX_TOXIC, ORDINARY_EACH = 8, 0.75, 1000, 5
+#: Longest spelling expression in characters, absolute discount, and the bounds on learning rows.
+ORDER, DISCOUNT, MAX_TOXIC, ORDINARY_EACH = 8, 0.75, 350, 10
 #: Discount of a class's own counts: what is rarer in it is left to the shared counts.
-CLASS_DISCOUNT = 3.0
-#: What a word's ratio must pass to count, and words of neutral text added to each length.
-MARGIN, NEUTRAL = 2.0, 10.0
+CLASS_DISCOUNT = 1.5
+#: The same of pairs of words, which a few copies of a text repeat together.
+PAIR_DISCOUNT = 10.0
+#: Share of a toxic text's words that its toxic model speaks for, and words of neutral text added to each length.
+SHARE, NEUTRAL = 0.003, 20.0
 START, END = "\x02", "\x03"
 WORDS_KEPT = 200_000
+#: Words: runs of letters, of digits and of other marks, so that quotes and hyphens hide no word.
+WORD = re.compile(r"[^\W\d_]+|[\d_]+|[^\w\s]+")
+
+
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
+
+
+def spelled(word: str, order: int) -> list[str]:
+    """A word's expressions: each character, and the end, after the up to ``order - 1`` characters before it."""
+    s = START + word + END
+    return [s[max(0, i - order) : i] for i in range(2, len(s) + 1)]
+
+
+def expressions(words: Counter, order: int) -> Counter:
+    """Counts of all words' spelling expressions."""
+    out: Counter = Counter()
+    for w, c in words.items():
+        for g in spelled(w, order):
+            out[g] += c
+    return out
 
 
 @dataclass
 class KneserNey:
-    """Log-likelihood ratios of expressions (toxic over ordinary), and the score's calibration.
+    """Log-likelihood ratios (toxic over ordinary) of expressions, and the score's calibration.
 
-    seen: ratio of a seen expression's last character after the rest of it;
-    after: ratio of any other character after a seen context.  Where neither
-    class has seen the context, both back off to the same shared counts and the
-    ratio is 0.
+    seen: of a spelling expression's last character after the rest of it; after:
+    of any other character after that context.  pairs: of a word after another;
+    follows: of any other word after that one, beside the word's own spelling.
+    What is in neither has ratio 0, as both classes back off to the same shared counts.
     """
 
     order: int
     seen: dict[str, float]
     after: dict[str, float]
+    pairs: dict[tuple[str, str], float] = field(default_factory=dict)
+    follows: dict[str, float] = field(default_factory=dict)
+    share: float = SHARE
     slope: float = 1.0
     shift: float = 0.0
 
     def word_ratio(self, word: str) -> float:
-        """log P(first letters | toxic) - log P(first letters | ordinary)."""
-        s, total, seen, after = START + word + END, 0.0, self.seen, self.after
-        for i in range(2, min(len(s), self.order) + 1):
-            g = s[:i]
+        """log P(word | toxic) - log P(word | ordinary) by its spelling, all of it."""
+        seen, after, total = self.seen, self.after, 0.0
+        for g in spelled(word, self.order):
             r = seen.get(g)
             total += after.get(g[:-1], 0.0) if r is None else r
         return total
 
     def ratio(self, text: str | None, kept: dict[str, float]) -> float:
-        """Length-normalised ratio of a whole text; 0 without words.
+        """Length-normalised log-likelihood of a whole text as toxic less that as ordinary; 0 without words.
 
-        A word's ratio counts by what it passes MARGIN: the two models' rates of
-        unseen words differ with the amount each has read, and nothing
-        below the margin tells the classes apart.
+        A toxic text is ordinary but for a share of its words, so a word's
+        likelihood in it is that mixture of both models.
         """
-        words = (text or "").lower().split()
+        words = words_of(text)
         if not words:
             return 0.0
         if len(kept) > WORDS_KEPT:
             kept.clear()
         for w in set(words):
             if w not in kept:
-                kept[w] = max(0.0, self.word_ratio(w) - MARGIN)
-        return math.fsum(map(kept.__getitem__, words)) / (len(words) + NEUTRAL)
+                kept[w] = self.word_ratio(w)
+        x = np.fromiter(map(kept.__getitem__, words), float, len(words))
+        if self.pairs or self.follows:
+            follows, pairs = self.follows, self.pairs
+            x[1:] += np.fromiter((follows.get(w, 0.0) for w in words[:-1]), float, len(words) - 1)
+            for i, p in enumerate(zip(words, words[1:], strict=False), 1):
+                if p in pairs:
+                    x[i] = pairs[p]
+        return float(np.log1p(self.share * np.expm1(np.minimum(x, 500.0))).sum()) / (len(words) + NEUTRAL)
 
     def score(self, ratio: float) -> float:
         """Calibrated probability of label 1."""
@@ -73,88 +105,113 @@ class KneserNey:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, x))))
 
 
-def expressions(words: Counter, order: int) -> Counter:
-    """Counts of the words' first characters, from two (the start mark and a letter) to ``order``."""
-    out: Counter = Counter()
-    for w, c in words.items():
-        s = START + w + END
-        for i in range(2, min(len(s), order) + 1):
-            out[s[:i]] += c
-    return out
-
-
-def fit_counts(toxic: Counter, ordinary: Counter, order: int = ORDER, discount: float = DISCOUNT, own: float = CLASS_DISCOUNT) -> KneserNey:
-    """Interpolated Kneser-Ney models of both classes from their expression counts.
+class Smoothed:
+    """Interpolated Kneser-Ney models of two classes' spelling expressions, with shared backoff.
 
     Counts of one class back off to those of both together, and these to shorter
-    expressions with continuation counts (distinct left neighbours) over both.
-    A class's own discount is large, so what is rare in it says only what all
-    texts say, and the ratio is near 0 where the classes have not shown to differ.
+    expressions with continuation counts (distinct left neighbours) over both,
+    down to all characters alike and one that stands for those never seen.  A class's own
+    discount is larger, so what is rare in it says what all texts say.
     """
-    pooled = set(toxic) | set(ordinary)
-    shared: list[dict[str, int]] = []
-    level = {g for g in pooled}
-    while level:  # continuation counts of ever shorter expressions
-        conts: dict[str, int] = defaultdict(int)
-        for g in level:
-            conts[g[1:]] += 1
-        conts.pop("", None)
-        shared.append(dict(conts))
-        level = {g for g in conts if len(g) > 1}
-    merged: dict[str, int] = defaultdict(int)
-    for conts in shared:
-        for g, c in conts.items():
-            merged[g] = max(merged[g], c)
-    total: dict[str, int] = defaultdict(int)
-    kinds: dict[str, int] = defaultdict(int)
-    for g, c in merged.items():
-        total[g[:-1]] += c
-        kinds[g[:-1]] += 1
-    floor = 1.0 / (kinds[""] + 1)
-    memo: dict[str, float] = {}
-
-    def backoff(g: str) -> float:
-        p = memo.get(g)
+
+    def __init__(self, counts: tuple[Counter, Counter], discount: float = DISCOUNT, own: float = CLASS_DISCOUNT):
+        self.discount, self.own, self.counts = discount, own, counts
+        self.every = Counter(counts[0])
+        self.every.update(counts[1])
+        level, self.merged = set(self.every), {}
+        while level:  # continuation counts of ever shorter expressions
+            conts: dict[str, int] = defaultdict(int)
+            for g in level:
+                conts[g[1:]] += 1
+            conts.pop("", None)
+            for g, c in conts.items():
+                self.merged[g] = max(self.merged.get(g, 0), c)
+            level = {g for g in conts if len(g) > 1}
+        self.total, self.kinds = self._sums(self.merged)
+        self.whole, self.sorts = self._sums(self.every)
+        self.floor = 1.0 / (self.kinds.get("", 0) + 1)
+        self.n, self.freed = ({}, {}), ({}, {})
+        for c in (0, 1):
+            for g, k in counts[c].items():
+                ctx = g[:-1]
+                self.n[c][ctx] = self.n[c].get(ctx, 0) + k
+                self.freed[c][ctx] = self.freed[c].get(ctx, 0.0) + min(k, own)
+        self.memo: dict[str, float] = {}
+
+    @staticmethod
+    def _sums(counts: dict[str, int]) -> tuple[dict[str, int], dict[str, int]]:
+        total, kinds = {}, {}
+        for g, c in counts.items():
+            total[g[:-1]] = total.get(g[:-1], 0) + c
+            kinds[g[:-1]] = kinds.get(g[:-1], 0) + 1
+        return total, kinds
+
+    def backoff(self, g: str) -> float:
+        """P(last character | the rest) by continuation counts."""
+        p = self.memo.get(g)
         if p is None:
             ctx = g[:-1]
-            low = backoff(g[1:]) if len(g) > 1 else floor
-            t = total.get(ctx, 0)
-            p = memo[g] = low if not t else (max(merged.get(g, 0) - discount, 0.0) + discount * kinds[ctx] * low) / t
+            low = self.backoff(g[1:]) if len(g) > 1 else self.floor
+            t = self.total.get(ctx, 0)
+            p = self.memo[g] = low if not t else (max(self.merged.get(g, 0) - self.discount, 0.0) + self.discount * self.kinds[ctx] * low) / t
         return p
 
-    sums = []
-    every: dict[str, int] = defaultdict(int)
-    for counts in (toxic, ordinary):
-        n: dict[str, int] = defaultdict(int)
-        freed: dict[str, float] = defaultdict(float)
-        for g, c in counts.items():
-            n[g[:-1]] += c
-            freed[g[:-1]] += min(c, own)
-            every[g] += c
-        sums.append((counts, n, freed))
-    whole: dict[str, int] = defaultdict(int)
-    sorts: dict[str, int] = defaultdict(int)
-    for g, c in every.items():
-        whole[g[:-1]] += c
-        sorts[g[:-1]] += 1
-
-    def pooled_prob(g: str) -> float:
-        return (max(every[g] - discount, 0.0) + discount * sorts[g[:-1]] * backoff(g[1:])) / whole[g[:-1]]
-
-    def prob(which: int, g: str, low: float) -> float:
-        counts, n, freed = sums[which]
-        t = n.get(g[:-1], 0)
-        return low if not t else (max(counts.get(g, 0) - own, 0.0) + freed[g[:-1]] * low) / t
-
-    seen = {g: math.log(prob(0, g, low) / prob(1, g, low)) for g in pooled for low in (pooled_prob(g),)}
-    # For other characters only the weights of the backoff differ; a class without the context keeps weight 1.
-    weight = lambda which, ctx: sums[which][2][ctx] / sums[which][1][ctx] if sums[which][1].get(ctx) else 1.0
-    after = {ctx: math.log(weight(0, ctx) / weight(1, ctx)) for ctx in {g[:-1] for g in pooled}}
-    return KneserNey(order, seen, after)
+    def shared(self, g: str) -> float:
+        """P(last character | the rest) by both classes' counts."""
+        t = self.whole.get(g[:-1], 0)
+        return self.backoff(g[1:]) if not t else (max(self.every.get(g, 0) - self.discount, 0.0) + self.discount * self.sorts[g[:-1]] * self.backoff(g[1:])) / t
+
+    def weight(self, c: int, ctx: str) -> float:
+        """The share that class ``c`` leaves to the shared model after ``ctx``."""
+        return self.freed[c][ctx] / self.n[c][ctx] if ctx in self.n[c] else 1.0
+
+    def prob(self, c: int, g: str, low: float | None = None) -> float:
+        """P(last character | the rest, class c)."""
+        low = self.shared(g) if low is None else low
+        t = self.n[c].get(g[:-1], 0)
+        return low if not t else max(self.counts[c].get(g, 0) - self.own, 0.0) / t + self.weight(c, g[:-1]) * low
+
+    def word(self, c: int, word: str, order: int) -> float:
+        """P(word | class c) by its spelling."""
+        return math.prod(self.prob(c, g) for g in spelled(word, order))
+
+
+#: Of a pair of words: counts by class; of a first word: counts and discounted counts by class.
+Pairs = dict[tuple[str, str], tuple[int, int]]
+Firsts = dict[str, tuple[tuple[int, float], tuple[int, float]]]
+
+
+def fit_counts(toxic: Counter, ordinary: Counter, order: int = ORDER, discount: float = DISCOUNT, own: float = CLASS_DISCOUNT, pairs: Pairs | None = None, firsts: Firsts | None = None, own_pairs: float = PAIR_DISCOUNT, share: float = SHARE) -> KneserNey:
+    """The model from both classes' counts of spelling expressions, and of words that follow each other.
+
+    pairs has (ordinary, toxic) counts of those above ``own_pairs`` in some class,
+    firsts of their first words (n, freed) by class.  A pair with no more than the
+    discount in both classes has its count freed whole, so it need not be listed.
+    """
+    m = Smoothed((ordinary, toxic), discount, own)
+    seen, after = {}, {}
+    for g in m.every:
+        low = m.shared(g)
+        r = math.log(m.prob(1, g, low) / m.prob(0, g, low))
+        seen[g] = r
+    for ctx in m.whole:
+        r = math.log(m.weight(1, ctx) / m.weight(0, ctx)) if m.weight(1, ctx) and m.weight(0, ctx) else 0.0
+        if r:
+            after[ctx] = r
+    # A seen expression with the ratio of its context's others need not be kept.
+    seen = {g: r for g, r in seen.items() if r != after.get(g[:-1], 0.0)}
+    pairs, firsts = pairs or {}, firsts or {}
+    left = {a: tuple(freed / n if n else 1.0 for n, freed in f) for a, f in firsts.items()}
+    ratios = {}
+    for (a, b), c in pairs.items():
+        p = [max(c[k] - own_pairs, 0.0) / firsts[a][k][0] + left[a][k] * m.word(k, b, order) if firsts[a][k][0] else m.word(k, b, order) for k in (0, 1)]
+        ratios[a, b] = math.log(p[1] / p[0])
+    follows = {a: math.log(w[1] / w[0]) for a, w in left.items()}
+    return KneserNey(order, seen, after, ratios, {a: r for a, r in follows.items() if r}, share)
 
 
 def calibrate(model: KneserNey, ratios: np.ndarray, labels: np.ndarray, cut: float = 0.7) -> KneserNey:
-    """Set slope and shift by a class-balanced logistic fit, so that ``cut`` is passed where both classes err least."""
+    """Set slope and shift so that ``cut`` is passed where both classes, weighing the same, err least."""
     if not len(ratios) or labels.min() == labels.max():
         return model
     order = np.argsort(ratios, kind="stable")
@@ -176,9 +233,9 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, order:
     """Fit on a bounded sample of labelled rows with crc32(doc_id as text) mod 3 other than 1.
 
     At most ``max_toxic`` toxic rows and ORDINARY_EACH times as many ordinary ones
-    are read, those of least hash, whole texts; a word counts once a text.  A
-    fifth of them calibrates the score and the rest is counted.  A doc_id that
-    is labelled both ways counts as toxic.  Without rows of both
+    are read, those of least hash, whole texts; a word, and a pair of words, counts
+    once a text.  A fifth of them calibrates the score and the rest is counted.  A
+    doc_id that is labelled both ways counts as toxic.  Without rows of both
     classes the model knows nothing and every score is 0.5.
     """
     own = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
@@ -190,23 +247,36 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, order:
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").withColumn("held", F.expr("pmod(xxhash64(doc_id, 7), 5) = 0"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = (Counter(), Counter())
         for b in sliced(batches):
+            words, pairs = (Counter(), Counter()), (Counter(), Counter())
             for t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sums[c].update(set((t or "").lower().split()))
-        for c in (0, 1):
-            grams = expressions(sums[c], order)
-            yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array([c] * len(grams), pa.int32()), pa.array(list(grams.values()), pa.int64())], names=["gram", "toxic", "n"])
-
-    grams = sample.where("not held").select("text", "toxic").mapInArrow(count, "gram string, toxic int, n long").groupBy("gram").agg(*[F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)])
-    table = grams.where("n0 + n1 > 1").toArrow()  # what one text alone says is no evidence
+                w = words_of(t)
+                words[c].update(set(w))
+                pairs[c].update(set(zip(w, w[1:], strict=False)))
+            for c in (0, 1):
+                grams = expressions(words[c], order)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(grams), pa.string()), pa.array(list(grams), pa.string()), pa.array([c] * len(grams), pa.int32()), pa.array(list(grams.values()), pa.int64())], names=["first", "gram", "toxic", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs[c]], pa.string()), pa.array([z for _, z in pairs[c]], pa.string()), pa.array([c] * len(pairs[c]), pa.int32()), pa.array(list(pairs[c].values()), pa.int64())], names=["first", "gram", "toxic", "n"])
+
+    counted = sample.where("not held").select("text", "toxic").mapInArrow(count, "first string, gram string, toxic int, n long")
+    # Written, as spelling, pairs and their first words are read apart.
+    counted = materialize(counted.groupBy("first", "gram").agg(*[F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]), "toxicity")
+    table = counted.where("first is null").toArrow()
     names = table["gram"].to_pylist()
     counts = tuple(Counter({g: n for g, n in zip(names, table[f"n{c}"].to_pylist(), strict=True) if n}) for c in (0, 1))
     if not counts[0] or not counts[1]:
+        release(counted)
         return KneserNey(order, {}, {})
-    model = fit_counts(counts[1], counts[0], order)
+    often = counted.where(f"first is not null and greatest(n0, n1) > {PAIR_DISCOUNT}")
+    pairs = {(r.first, r.gram): (r.n0, r.n1) for r in often.select("first", "gram", "n0", "n1").toArrow().to_pandas().itertuples()}
+    sums = [F.sum(f"n{c}").alias(f"n{c}") for c in (0, 1)] + [F.sum(F.least(F.col(f"n{c}"), F.lit(PAIR_DISCOUNT))).alias(f"f{c}") for c in (0, 1)]
+    table2 = counted.where("first is not null").groupBy("first").agg(*sums).where("f0 < n0 or f1 < n1").toArrow().to_pandas()
+    firsts = {r.first: ((r.n0, r.f0), (r.n1, r.f1)) for r in table2.itertuples()}
+    release(counted)
+    model = fit_counts(counts[1], counts[0], order, pairs=pairs, firsts=firsts)
     sent = spark.sparkContext.broadcast(model)
     held = sample.where("held").select("text", "toxic").mapInArrow(lambda it: _ratios(it, sent), "toxic int, ratio double").toArrow()
+    sent.destroy()
     return calibrate(model, held["ratio"].to_numpy(), held["toxic"].to_numpy().astype(float), cut)
 
 
@@ -237,8 +307,9 @@ def score_texts(docs: DataFrame, model: KneserNey, cut: float = 0.7) -> DataFram
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, order: int = ORDER, cut: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``.
 
-    Each word's log-likelihood ratio is the sum over its first characters; a text's is
-    the mean over its words and ten neutral ones, so long and short texts compare.  A null or empty
+    A text's two log-likelihoods are sums over all its words, each by its whole
+    spelling and by the word before it, and their difference is divided by the
+    number of words (and some neutral ones), so long and short texts compare.  A null or empty
     text has ratio 0, the ratio of a text that says nothing.  Rows
     without a doc_id are scored and not held out; repeated rows are scored each;
     an empty table gives no rows.  Only doc_id and text are read, and labels

@@ -147,14 +147,6 @@ def test_op4_odd_rows(spark):
     assert kept.columns == odd(spark).columns and kept.count() == len(ODD)
 
 
-def test_op4_model_is_a_distribution():
-    from collections import Counter
-
-    toxic, ordinary = Counter({"bad": 3, "word": 2}), Counter({"good": 5, "word": 1, "bad": 1})
-    model = toxicity.fit_counts(*(toxicity.expressions(c, 3) for c in (toxic, ordinary)), order=3, own=1.0)
-    assert model.word_ratio("bad") > 0 > model.word_ratio("good") and model.word_ratio("\u4e2d") == pytest.approx(model.word_ratio("\u6587"))
-
-
 VECTORS = [(i, [((i * 37 + j * 11) % 101 - 50) / 50 for j in range(6)]) for i in range(230)] + [(300, None), (301, [None] * 6), (302, [math.inf] * 6), (None, [1.0] * 6), (400, [0.0] * 6), (500, [0.5] * 6), (501, [0.5] * 6), (502, [0.5] * 6), (503, []), (7, [9.0] * 6), (100, [(100 * 37 + j * 11) % 101 / 50 - 1 for j in range(6)])]
 
 

@@ -31,16 +31,17 @@ def url_parts(url: str = "url") -> tuple[str, str]:
     return host, path
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, short: int = SHORT) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of ``pages`` (page_id, url).
 
-    Each distinct URL is expanded into host suffixes, of as many labels as
+    Each URL is expanded into host suffixes, of as many labels as
     rules have, joined with path prefixes as long as the rules' paths; the
-    digest's first eight digits are joined with those of the rules, then whole
-    digests confirm.  The longest rule wins, of rules of one length that with
+    first ``short`` digits of the forms' digests are joined with those of the rules,
+    and whole digests confirm what meets.  The longest rule wins, of rules of one length that with
     the longer host, then ``block``.  The sets of label counts and
     path lengths come from the rules, so no URL is cut short.  The rule
-    table is broadcast only if its size lets Spark do so.
+    table is broadcast only if its size lets Spark do so; a row's forms are
+    summed by the row, before the shuffle, so no URL is a key, however often it occurs.
 
     A null url, or one without ``://``, has an empty host and path and takes
     the default verdict; repeated rows are judged each; an empty table gives
@@ -49,21 +50,19 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> Da
     """
     shapes = rules.agg(F.sort_array(F.collect_set(F.size(F.split("host", r"\.")))).alias("labels"), F.sort_array(F.collect_set(F.length("path"))).alias("lengths")).first()
     host, path = url_parts()
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"))
-    urls = rows.groupBy("url").agg(F.lit(1).alias("one")).where("url is not null").select("url", F.expr(host).alias("host"), F.expr(path).alias("path"))
-    suffix = "array_join(slice(parts, size(parts) - n + 1, n), '.')"
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", F.expr(host).alias("host"), F.expr(path).alias("path"), F.monotonically_increasing_id().alias("row"))
     labels = ", ".join(map(str, shapes["labels"] or [])) or "cast(null as int)"
     lengths = ", ".join(map(str, shapes["lengths"] or [])) or "cast(null as int)"
-    forms = urls.select("url", F.split("host", r"\.").alias("parts"), "path").select(
-        "url",
-        F.explode(F.expr(f"flatten(transform(filter(array({labels}), n -> n <= size(parts)), n -> transform(filter(array({lengths}), m -> m <= length(path)), m -> {suffix} || substring(path, 1, m))))")).alias("form"),
-    )
-    hashed = forms.withColumn("digest", F.sha2("form", 256)).withColumn("short", F.substring("digest", 1, SHORT))
-    listed = rules.select("verdict", F.concat("host", "path").alias("rule"), F.length("host").alias("host_length")).withColumn("rule_digest", F.sha2("rule", 256)).withColumn("rule_short", F.substring("rule_digest", 1, SHORT))
-    fits = hashed.join(listed, (hashed["short"] == listed["rule_short"]) & (hashed["digest"] == listed["rule_digest"]))
-    best = fits.groupBy("url").agg(F.max(F.struct(F.length("rule").alias("l"), "host_length", F.col("verdict").alias("verdict"), "rule")).alias("best"))
-    judged = rows.join(best, "url", "left")
-    return judged.select("page_id", F.expr(host).alias("host"), F.expr(path).alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    suffix = "array_join(slice(parts, size(parts) - n + 1, n), '.')"
+    every = f"flatten(transform(filter(array({labels}), n -> n <= size(parts)), n -> transform(filter(array({lengths}), m -> m <= length(path)), m -> {suffix} || substring(path, 1, m))))"
+    forms = rows.withColumn("parts", F.split("host", r"\.")).select("page_id", "host", "path", "row", F.explode_outer(F.expr(every)).alias("form"))
+    hashed = forms.withColumn("digest", F.sha2("form", 256)).withColumn("short", F.substring("digest", 1, short)).drop("form")
+    listed = rules.select("verdict", F.concat("host", "path").alias("rule"), F.length("host").alias("host_length")).withColumn("rule_digest", F.sha2("rule", 256)).withColumn("rule_short", F.substring("rule_digest", 1, short))
+    met = hashed.join(listed, F.col("short") == F.col("rule_short"), "left")
+    # Not a filter: the planner would make the whole digest a key of the join.
+    fits = F.when(F.col("digest") == F.col("rule_digest"), F.struct(F.length("rule").alias("l"), "host_length", F.col("verdict").alias("verdict"), "rule"))
+    judged = met.groupBy("row").agg(*[F.first(c).alias(c) for c in ("page_id", "host", "path")], F.max(fits).alias("best"))
+    return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 ORACLE = """

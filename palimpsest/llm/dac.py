@@ -117,6 +117,15 @@ class Reader:
         return self.ids(int(self.starts[j]), int(self.starts[j + 1]))
 
 
+def store(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a folder and its path there; Hadoop's names of S3 are S3."""
+    scheme, _, rest = folder.partition("://")
+    try:
+        return pyarrow.fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else folder)
+    except (pa.ArrowException, OSError) as error:
+        raise ValueError(f"token files need a folder that pyarrow opens (local or mounted, hdfs, s3 or s3a, gs), not {folder}") from error
+
+
 def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, bits: int = BITS, segment: int = SEGMENT) -> DataFrame:
     """Write all texts' ids to files below ``folder``, in ascending doc_id order, nulls first; the files' table.
 
@@ -131,7 +140,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, bit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end, part = Encoder.of(path, "bytes"), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
-        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        fs, root = store(folder)
         fs.create_dir(root, recursive=True)
         held: list[bytes] = []
         names: list[int | None] = []
@@ -162,6 +171,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, bit
         if held:
             yield flush()
 
+    store(folder)  # tells at once if it cannot be opened
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tie = F.xxhash64("text").alias("tie")
     ordered = rows.select("doc_id", "text", tie).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
@@ -172,7 +182,7 @@ def read_ids(files: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files alone; files: as :func:`write_ids` returns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        fs, root = store(folder)
         for b in batches:
             for file, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 with fs.open_input_file(f"{root}/{file}") as f:
@@ -181,9 +191,11 @@ def read_ids(files: DataFrame, folder: str) -> DataFrame:
                 crc = [zlib.crc32(ids[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(reader.docs, pa.int64()), pa.array(reader.starts[:-1] + base), pa.array(np.diff(reader.starts)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # One row a file; files hold millions of ids.
-    base = F.sum("n_tokens").over(Window.orderBy("part", "segment").rowsBetween(Window.unboundedPreceding, -1))
-    listed = files.select("file", F.coalesce(base, F.lit(0)).cast("long").alias("base"))
+    # Parts are as many as tasks; files are placed within their part.
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before.orderBy("part")), F.lit(0)).alias("first"))
+    within = F.coalesce(F.sum("n_tokens").over(before.partitionBy("part").orderBy("segment")), F.lit(0))
+    listed = files.join(parts, "part").select("file", (F.col("first") + within).cast("long").alias("base"))
     return listed.repartition(-(-files.count() // FILES_EACH) or 1, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from .tokens import Encoder
 
 WINDOW, END_ID, TEXTS = 2048, 1, 1500
-#: Windows that may be partially filled at once; more are closed early.
-OPEN = 8192
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -28,10 +26,15 @@ class Packer:
     least; of equal levels the fullest.  What is open at the end is poured
     together, cutting documents, so that at most one window is not full; that one
     is split into sequences whose lengths are powers of two.  No padding is left.
+
+    However many windows are open, the rule stays the same.  They hold their ids,
+    so memory is at most what the stream's documents take; under this rule open windows
+    grow with the square root of the documents, unless sizes are such
+    that no two fit together (all above half a window).
     """
 
-    def __init__(self, window: int = WINDOW, open_windows: int = OPEN):
-        self.window, self.limit = window, open_windows
+    def __init__(self, window: int = WINDOW):
+        self.window = window
         self.count = np.zeros(window + 1, np.int64)
         self.levels: dict[int, list[int]] = {}
         self.parts: dict[int, list[tuple]] = {}  # of each open window: (doc, start, bytes, doc_tokens)
@@ -75,8 +78,6 @@ class Packer:
         else:
             self.levels.setdefault(level + size, []).append(window)
             c[level + size] += 1
-        if len(self.parts) > self.limit:
-            self.finish()
 
     def _close(self, window: int) -> None:
         offset = 0
@@ -124,20 +125,20 @@ class Packer:
         return rows
 
 
-def pack(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WINDOW, open_windows: int = OPEN) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WINDOW) -> DataFrame:
     """Pieces (see PIECES) of all documents, packed into windows of ``window`` ids.
 
     A document is the ids of its whole text, by the word-end vocabulary at
     ``path``, and ``end_id``; a null or empty text is the end id alone.  Each
     partition of the input packs its own stream, in its own order, with its
     own level array, so nothing is shuffled and the state is bounded by
-    ``open_windows``.  A sequence_id is the partition's number, shifted by 40
+    the partition's documents.  A sequence_id is the partition's number, shifted by 40
     bits, plus the sequence's number in it.  Repeated rows are packed each;
     an empty table gives no rows; only doc_id and text are read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder.of(path, "words"), Packer(window, open_windows)
+        encoder, packer = Encoder.of(path, "words"), Packer(window)
         base, end = TaskContext.get().partitionId() << 40, np.array([end_id], "<u4").tobytes()
 
         def out() -> pa.RecordBatch:

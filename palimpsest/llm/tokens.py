@@ -25,8 +25,8 @@ class Encoder:
     pieces' ids joined are the ids of the whole text.  Pieces recur, and what the
     library said of one is kept while there is room.  ``kind`` is ``bytes`` for
     a byte-level vocabulary whose words carry their space, ``words`` for one with
-    word ends that drops white space.  Strings that look like special tokens are
-    ordinary text.
+    word ends that drops white space.  A text that holds one of the vocabulary's
+    special strings goes to the library whole, which gives that string its own id.
     """
 
     def __init__(self, path: str, kind: str):
@@ -34,7 +34,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = kind == "words"
         self.kept: dict[str, bytes] = {}  # by piece; a word of a byte-level vocabulary stands for itself after a space
         self.older: dict[str, bytes] = {}
@@ -112,7 +112,10 @@ class Encoder:
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         if not len(texts):
             return []
-        odd = np.zeros(len(texts), bool) if self.words else pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)
+        whole = np.zeros(len(texts), bool)
+        for name in self.special:
+            whole |= pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
+        odd = whole if self.words else whole | pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
         cut = self.pieces(plain)
         numbered = cut.flatten().dictionary_encode()
@@ -127,8 +130,8 @@ class Encoder:
         words = cut.offsets.to_numpy()
         bounds = (np.r_[0, ends][words - words[0]] * 4).tolist()
         skip = 0 if self.words else 4  # the line feed put before
-        return [self._uneven(texts[i].as_py()) if o else bytes(data[a + skip : z]) for i, (o, a, z) in enumerate(zip(odd.tolist(), bounds, bounds[1:], strict=False))]
+        return [self._asked(texts[i].as_py(), bool(whole[i])) if o else bytes(data[a + skip : z]) for i, (o, a, z) in enumerate(zip(odd.tolist(), bounds, bounds[1:], strict=False))]
 
-    def _uneven(self, text: str) -> bytes:
-        """Ids of a text with other white space: its parts are asked for as they are."""
-        return b"".join(self._library(CUT.split(text)))
+    def _asked(self, text: str, whole: bool) -> bytes:
+        """Ids of a text with special strings, whole, or with other white space: its parts are asked for as they are."""
+        return b"".join(self._library([text] if whole else CUT.split(text)))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh_path, materialize, release
 
 SCALE, LISTS, BLOCK = 1024, 2, 8192
 #: Rows scored at once, as numbers in one matrix of scores.
@@ -83,12 +83,62 @@ def columns_best(score: np.ndarray, vec: np.ndarray, k: int) -> tuple[np.ndarray
     return q[keep], r[keep]
 
 
+def total(parts: list[np.ndarray]) -> np.ndarray:
+    """Sums of partial scores; longs, cut off at the ends of their range."""
+    if all(np.abs(p).max(initial=0) < 2**61 for p in parts):
+        return sum(parts)
+    return np.clip(sum(p.astype(object) for p in parts), MIN, MAX).astype(np.int64)
+
+
+def pair_scores(queries: np.ndarray, rows: np.ndarray, q: np.ndarray, r: np.ndarray, cuts: list[int]) -> np.ndarray:
+    """Whole scores of given pairs alone, list by list."""
+    out = []
+    for a, z in zip(cuts, cuts[1:], strict=False):
+        x, y = queries[q, a:z], rows[r, a:z]
+        if x.dtype == object or y.dtype == object or float(np.abs(x).max(initial=0.0)) * float(np.abs(y).max(initial=0.0)) * max(1, z - a) >= 2.0**53:
+            x, y = (v if v.dtype == object else np.frompyfunc(int, 1, 1)(v) for v in (x, y))
+            out.append(np.clip((x * y).sum(axis=1), MIN, MAX).astype(np.int64) if x.size else np.zeros(len(q), np.int64))
+        else:
+            out.append(np.einsum("ij,ij->i", x, y).astype(np.int64))
+    return total(out)
+
+
+def list_tops(ids: np.ndarray, queries: np.ndarray, vec: np.ndarray, rows: np.ndarray, cuts: list[int], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phase 1: (query place, row place, whole score) of the k highest entries a query in the first list of these rows.
+
+    Only the first list's partial scores are computed for all rows; the others of its tops alone.
+    """
+    own = ids[:, None] == vec[None, :]
+    part = product(queries[:, cuts[0] : cuts[1]], rows[:, cuts[0] : cuts[1]])
+    part[own] = MIN
+    q, r = columns_best(part, vec, k)
+    keep = ~own[q, r]
+    q, r = q[keep], r[keep]
+    return q, r, pair_scores(queries, rows, q, r, cuts)
+
+
+def sufficient(ids: np.ndarray, queries: np.ndarray, vec: np.ndarray, rows: np.ndarray, cuts: list[int], cutoff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phases 2 and 3: (query place, row place, whole score) of the entries of at least cutoff / lists in some list.
+
+    What an entry's other lists hold of it is added to it alone.
+    """
+    lists = len(cuts) - 1
+    least = -(-cutoff // lists)[:, None]
+    parts = [product(queries[:, a:z], rows[:, a:z]) for a, z in zip(cuts, cuts[1:], strict=False)]
+    enough = parts[0] >= least
+    for p in parts[1:]:
+        enough |= p >= least
+    enough &= ids[:, None] != vec[None, :]
+    q, r = np.nonzero(enough)
+    return q, r, total([p[q, r] for p in parts])
+
+
 def exact_top_k(vectors: DataFrame, k: int = 10, divisor: int = 100, lists: int = LISTS, block: int = BLOCK, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products.
 
     The components are dealt into ``lists`` score lists; a score is the sum of
     its lists' partial scores.  Phase 1: each partition of the candidates gathers
-    the local tops of every list, with whole scores, and the k-th best of them
+    the local tops of the first list, and the whole scores of these few entries; the k-th best of them
     over all partitions is the query's safe cutoff.  Phase 2: the cutoff goes
     to all partitions, and each takes the entries with a partial score
     of at least cutoff / lists in some list: a candidate with less in all lists
@@ -96,7 +146,8 @@ def exact_top_k(vectors: DataFrame, k: int = 10, divisor: int = 100, lists: int
     scores are exact, and those that reach the cutoff are merged.
 
     Queries (vec_id divisible by ``divisor``) are broadcast in blocks of about
-    ``block`` rows, a fixed bound, and candidates never leave their
+    ``block`` rows, a fixed bound; a block's entries are written and its
+    broadcasts destroyed before the next, and candidates never leave their
     partition but as entries.  See :func:`clean` for the rows that
     take part; vectors of unlike lengths are filled with zeros.  A query with
     fewer than k candidates returns all; an empty table no rows.  Scores outside
@@ -108,73 +159,53 @@ def exact_top_k(vectors: DataFrame, k: int = 10, divisor: int = 100, lists: int
     is_query = F.col("vec_id") % divisor == 0
     facts = rows.agg(F.count_if(is_query), F.max(F.size("v"))).first()
     n_blocks, dim = max(1, -(-facts[0] // block)), facts[1] or 0
-    out = spark.createDataFrame([], schema)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     cuts = [round(dim * i / lists) for i in range(lists + 1)]
+    folder = fresh_path(spark, "topk-entries")
     for at in range(n_blocks if facts[0] else 0):
         mine = rows.where(is_query & (F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == at)).toArrow()
         if not len(mine):
             continue
         ids = mine["vec_id"].to_numpy()
-        queries = quantise(floats(mine["v"].combine_chunks(), dim), scale)
-        sent = spark.sparkContext.broadcast((ids, queries))
-
-        def partials(b: pa.RecordBatch, sent=sent):
-            """Query ids, and by chunk of rows: vec_ids, partial scores by list, and the own-row mask."""
-            ids, queries = sent.value
-            vec, v = b.column(0).to_numpy(), quantise(floats(b.column(1), dim), scale)
-            step = max(1, CELLS // max(1, len(ids)))
-            for s in range(0, len(vec), step):
-                part = [product(queries[:, a:z], v[s : s + step, a:z]) for a, z in zip(cuts, cuts[1:], strict=False)]
-                yield ids, vec[s : s + step], part, ids[:, None] == vec[None, s : s + step]
-
-        def total(part):
-            if all(np.abs(p).max(initial=0) < 2**61 for p in part):
-                return sum(part)
-            return np.clip(sum(p.astype(object) for p in part), MIN, MAX).astype(np.int64)
-
-        def entries(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            q, v, s = (np.concatenate(x) for x in zip(*found, strict=True))
-            keep = best(q, s, v, k)
-            return pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(v[keep]), pa.array(s[keep])], names=["query_id", "vec_id", "score"])
-
-        def gather(batches: Iterator[pa.RecordBatch], partials=partials, total=total) -> Iterator[pa.RecordBatch]:
+        sent = spark.sparkContext.broadcast((ids, quantise(floats(mine["v"].combine_chunks(), dim), scale)))
+
+        def entries(batches: Iterator[pa.RecordBatch], of, sent=sent) -> Iterator[pa.RecordBatch]:
+            """The k best a query and batch of what ``of`` finds in each chunk of rows."""
+            ids = sent.value[0]
             for b in batches:
-                found = []
-                for ids, vec, part, own in partials(b):
-                    whole = total(part)
-                    for p in part:
-                        q, r = columns_best(np.where(own, MIN, p), vec, k)
-                        q, r = q[~own[q, r]], r[~own[q, r]]
-                        found.append((ids[q], vec[r], whole[q, r]))
+                vec, v = b.column(0).to_numpy(), quantise(floats(b.column(1), dim), scale)
+                step, found = max(1, CELLS // max(1, len(ids))), []
+                for s in range(0, len(vec), step):
+                    q, r, score = of(vec[s : s + step], v[s : s + step])
+                    found.append((ids[q], vec[s : s + step][r], score))
                 if found:
-                    q, v, s = (np.concatenate(x) for x in zip(*found, strict=True))
-                    _, one = np.unique(np.stack([q, v]), axis=1, return_index=True)  # an entry may top several lists
-                    yield entries([(q[one], v[one], s[one])])
+                    q, r, score = (np.concatenate(x) for x in zip(*found, strict=True))
+                    keep = best(q, score, r, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(r[keep]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
+
+        def gather(batches: Iterator[pa.RecordBatch], sent=sent, entries=entries) -> Iterator[pa.RecordBatch]:
+            return entries(batches, lambda vec, v: list_tops(*sent.value, vec, v, cuts, k))
 
         ranked = rows.mapInArrow(gather, schema).withColumn("rank", F.row_number().over(order))
         cutoff = {r.query_id: r.score for r in ranked.where(F.col("rank") <= k).where(F.col("rank") == k).collect()}
-        floor = np.array([MIN if cutoff.get(i) is None else cutoff[i] for i in ids.tolist()], np.int64)
-        told = spark.sparkContext.broadcast(floor)
-
-        def collect(batches: Iterator[pa.RecordBatch], partials=partials, total=total, told=told) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                found = []
-                for ids, vec, part, own in partials(b):
-                    cut = told.value[:, None]
-                    enough = part[0] >= -(-cut // lists)
-                    for p in part[1:]:
-                        enough |= p >= -(-cut // lists)
-                    q, r = np.nonzero(enough & ~own)
-                    s = total([p[q, r] for p in part])
-                    reach = s >= told.value[q]
-                    found.append((ids[q[reach]], vec[r[reach]], s[reach]))
-                if found:
-                    yield entries(found)
-
-        out = out.union(rows.mapInArrow(collect, schema))
-    # At most k entries a query leave each batch of a partition.
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        told = spark.sparkContext.broadcast(np.array([cutoff.get(i, MIN) for i in ids.tolist()], np.int64))
+
+        def collect(batches: Iterator[pa.RecordBatch], sent=sent, told=told, entries=entries) -> Iterator[pa.RecordBatch]:
+            def reach(vec: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                q, r, score = sufficient(*sent.value, vec, v, cuts, told.value)
+                keep = score >= told.value[q]
+                return q[keep], r[keep], score[keep]
+
+            return entries(batches, reach)
+
+        # At most k entries a query leave each batch of a partition.
+        top = rows.mapInArrow(collect, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        top.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(folder)
+        sent.destroy()
+        told.destroy()
+    release(rows)
+    out = "query_id long, rank int, vec_id long, score long"
+    return spark.read.schema(out).parquet(folder) if facts[0] else spark.createDataFrame([], out)
 
 
 ORACLE = """

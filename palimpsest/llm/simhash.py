@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +33,22 @@ def simhash(text: bytes | None, width: int = 3) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def narrow(docs: DataFrame) -> DataFrame:
+    """(doc_id, tie, text); tie is the text's hash, which tells rows of one doc_id apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tie"), text.alias("text"))
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp long) for each row of documents; fp holds the 64 bits as a signed long."""
+    """(doc_id, tie, fp long) for each row of documents; fp holds the 64 bits as a signed long, tie is the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("simhash")
         for b in sliced(batches):
-            fp = [simhash(t, width) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            fp = [simhash(t, width) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["doc_id", "tie", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return narrow(docs).mapInArrow(run, "doc_id long, tie long, fp long")
 
 
 def _bits(fp: str, shift: int) -> str:
@@ -85,7 +91,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicate_groups(docs: DataFrame, width: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of every row, and (fp, component_id, root) of every distinct fingerprint.
+    """(doc_id, tie, fp) of every row, and (fp, component_id, root) of every distinct fingerprint.
 
     component_id is the least doc_id of the group and root its least
     fingerprint.  Rows with a null or empty text have fingerprint zero and are
@@ -107,32 +113,26 @@ def simhash_dedup(docs: DataFrame, width: int = 3) -> DataFrame:
     return fps.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_least(docs: DataFrame, fps: DataFrame, groups: DataFrame, mark: Callable[[bytes | None], int], owner: str) -> DataFrame:
-    """The row of least doc_id of each group, all columns; ``mark`` gives a text's fp as a signed long."""
-    named = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*named)  # extra columns may have any name
-    at = {c: n for c, n in zip(docs.columns, named, strict=True)}
-    lows = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    stay = lows.join(groups, "fp").where("low <=> component_id").groupBy("root").agg(F.min_by("low", "fp").alias("low"), F.min("fp").alias("fp"))
-    fields = ", ".join(f"`{n}` {t.dataType.simpleString()}" for n, t in zip(named, docs.schema, strict=True))
-    i = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache(owner)
-        for b in sliced(batches):
-            fp = pa.array([mark(t) for t in b.column(i).cast(pa.binary()).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, fp], names=[*named, "fp"])
+def keep_least(docs: DataFrame, fps: DataFrame, groups: DataFrame) -> DataFrame:
+    """The row of least doc_id of each group, all columns; fps has (doc_id, tie, fp) of the rows of ``docs``.
 
-    rows = plain.mapInArrow(run, f"{fields}, fp long").alias("d")
-    one = F.col(f"d.{at['doc_id']}").cast("long").eqNullSafe(F.col("s.low")) & (F.col("d.fp") == F.col("s.fp"))
-    kept = rows.join(stay.alias("s"), one).select(*[F.col(f"d.{n}") for n in named], F.col("s.root").alias("root"))
-    return kept.dropDuplicates(["root"]).select(*[F.col(n).alias(c) for c, n in at.items()])
+    Rows are chosen by narrow columns, so texts are moved once, to meet the chosen.
+    """
+    named = [f"c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, named, strict=True))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "tie")).alias("one")
+    stay = materialize(fps.groupBy("fp").agg(least).join(groups, "fp").groupBy("root").agg(F.min("one").alias("one")).select("one.none", "one.id", "one.tie"), "simhash")
+    plain = docs.toDF(*named)
+    doc_id, text = F.col(at["doc_id"]).cast("long"), F.col(at["text"]).cast("string")
+    marked = plain.select(*named, doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0).cast("long")).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tie"))
+    kept = marked.join(stay, ["none", "id", "tie"], "left_semi").dropDuplicates(["none", "id", "tie"])  # of equal rows one
+    return kept.select(*[F.col(n).alias(c) for c, n in at.items()])
 
 
 def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
     """All columns of ``docs``, one row of each near-duplicate group: that of the least doc_id.
 
-    Of rows that repeat that doc_id and fingerprint, any one stays; a group
-    without any doc_id keeps one row.
+    Of rows that repeat that doc_id with other texts of the group, the one of least text
+    hash stays, of equal rows any one; a group without any doc_id keeps one row.
     """
-    return keep_least(docs, *near_duplicate_groups(docs.select("doc_id", "text"), width), lambda t: int(np.uint64(simhash(t, width)).view(np.int64)), "simhash")
+    return keep_least(docs, *near_duplicate_groups(docs.select("doc_id", "text"), width))

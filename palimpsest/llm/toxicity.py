@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import marshal
 import math
 import re
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,10 @@ CLASS_DISCOUNT = 1.5
 PAIR_DISCOUNT = 10.0
 #: Share of a toxic text's words that its toxic model speaks for, and words of neutral text added to each length.
 SHARE, NEUTRAL = 0.003, 20.0
+#: Texts scored together.
+TEXTS = 1000
 START, END = "\x02", "\x03"
-WORDS_KEPT = 200_000
+MULTIPLIER, FINISH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Words: runs of letters, of digits and of other marks, so that quotes and hyphens hide no word.
 WORD = re.compile(r"[^\W\d_]+|[\d_]+|[^\w\s]+")
 
@@ -65,8 +69,13 @@ class KneserNey:
     pairs: dict[tuple[str, str], float] = field(default_factory=dict)
     follows: dict[str, float] = field(default_factory=dict)
     share: float = SHARE
-    slope: float = 1.0
-    shift: float = 0.0
+
+    def dump(self) -> bytes:
+        return marshal.dumps((self.order, self.seen, self.after, self.pairs, self.follows, self.share))
+
+    @classmethod
+    def load(cls, data: bytes) -> KneserNey:
+        return cls(*marshal.loads(data))
 
     def word_ratio(self, word: str) -> float:
         """log P(word | toxic) - log P(word | ordinary) by its spelling, all of it."""
@@ -76,7 +85,7 @@ class KneserNey:
             total += after.get(g[:-1], 0.0) if r is None else r
         return total
 
-    def ratio(self, text: str | None, kept: dict[str, float]) -> float:
+    def ratio(self, text: str | None) -> float:
         """Length-normalised log-likelihood of a whole text as toxic less that as ordinary; 0 without words.
 
         A toxic text is ordinary but for a share of its words, so a word's
@@ -85,11 +94,7 @@ class KneserNey:
         words = words_of(text)
         if not words:
             return 0.0
-        if len(kept) > WORDS_KEPT:
-            kept.clear()
-        for w in set(words):
-            if w not in kept:
-                kept[w] = self.word_ratio(w)
+        kept = {w: self.word_ratio(w) for w in set(words)}
         x = np.fromiter(map(kept.__getitem__, words), float, len(words))
         if self.pairs or self.follows:
             follows, pairs = self.follows, self.pairs
@@ -99,10 +104,107 @@ class KneserNey:
                     x[i] = pairs[p]
         return float(np.log1p(self.share * np.expm1(np.minimum(x, 500.0))).sum()) / (len(words) + NEUTRAL)
 
-    def score(self, ratio: float) -> float:
-        """Calibrated probability of label 1."""
-        x = self.slope * (ratio - self.shift)
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, x))))
+
+@dataclass
+class Trained:
+    """A model as bytes, which workers load, and the score's calibration."""
+
+    model: bytes
+    slope: float = 1.0
+    shift: float = 0.0
+
+    def scores(self, ratios: np.ndarray) -> np.ndarray:
+        """Calibrated probabilities of label 1."""
+        return 1 / (1 + np.exp(-np.clip(self.slope * (ratios - self.shift), -60.0, 60.0)))
+
+
+class Scorer:
+    """:meth:`KneserNey.ratio` of many texts at once: a batch's distinct words are spelled together.
+
+    Expressions are looked up by a 64-bit hash of their characters.
+    """
+
+    def __init__(self, model: KneserNey):
+        self.model = model
+        self.seen, self.after = self._table(model.seen), self._table(model.after)
+
+    @staticmethod
+    def _mixed(h: np.ndarray) -> np.ndarray:
+        h = (h ^ h >> np.uint64(32)) * FINISH
+        return h ^ h >> np.uint64(29)
+
+    @staticmethod
+    def _added(h: np.ndarray, char: np.ndarray) -> np.ndarray:
+        return (h + char + np.uint64(1)) * MULTIPLIER
+
+    def _table(self, ratios: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes in order, and the ratios by them."""
+        lengths = np.fromiter(map(len, ratios), np.int64, len(ratios))
+        chars = np.frombuffer("".join(ratios).encode("utf-32-le"), "<u4").astype(np.uint64)
+        ends = np.cumsum(lengths)
+        h = np.zeros(len(lengths), np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(int(lengths.max(initial=0))):
+                on = lengths > j
+                h[on] = self._added(h[on], chars[(ends - lengths)[on] + j])
+            h = self._mixed(h)
+        o = np.argsort(h)
+        return h[o], np.fromiter(ratios.values(), float, len(ratios))[o]
+
+    @staticmethod
+    def _found(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ratio of each hash (0 if there is none), and whether there is one."""
+        keys, values = table
+        if not len(keys):
+            return np.zeros(len(h)), np.zeros(len(h), bool)
+        i = np.searchsorted(keys, h)
+        i[i == len(keys)] = 0
+        there = keys[i] == h
+        return np.where(there, values[i], 0.0), there
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """:meth:`KneserNey.word_ratio` of each word."""
+        order = self.model.order
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        chars = np.frombuffer("".join(f"{START}{w}{END}" for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
+        word = np.repeat(np.arange(len(words)), lengths)
+        place = np.arange(len(chars)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        h = np.zeros(len(chars), np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(order - 1, 0, -1):
+                at = np.flatnonzero(place >= j)
+                h[at] = self._added(h[at], chars[at - j])
+            on = np.flatnonzero(place > 0)
+            r, there = self._found(self.seen, self._mixed(self._added(h[on], chars[on])))
+            miss = np.flatnonzero(~there)
+            r[miss] = self._found(self.after, self._mixed(h[on[miss]]))[0]
+        return np.bincount(word[on], r, minlength=len(words))
+
+    def ratios(self, texts: list[str | None]) -> np.ndarray:
+        """:meth:`KneserNey.ratio` of each text."""
+        m = self.model
+        lists = [words_of(t) for t in texts]
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        if not counts.sum():
+            return np.zeros(len(lists))
+        numbered = pa.array(list(chain.from_iterable(lists)), pa.string()).dictionary_encode()
+        vocabulary, code = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        x = self.words(vocabulary)[code]
+        text = np.repeat(np.arange(len(lists)), counts)
+        if m.pairs or m.follows:
+            follows = np.fromiter((m.follows.get(w, 0.0) for w in vocabulary), float, len(vocabulary))
+            same = np.flatnonzero(text[1:] == text[:-1]) + 1
+            x[same] += follows[code[same - 1]]
+            number = {w: i for i, w in enumerate(vocabulary)}
+            known = [(number[a] * len(vocabulary) + number[b], r) for (a, b), r in m.pairs.items() if a in number and b in number]
+            if known:
+                keys, values = (np.array(v) for v in zip(*sorted(known), strict=True))
+                key = code[same - 1].astype(np.int64) * len(vocabulary) + code[same]
+                i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                there = keys[i] == key
+                x[same[there]] = values[i[there]]
+        sums = np.bincount(text, np.log1p(m.share * np.expm1(np.minimum(x, 500.0))), minlength=len(lists))
+        return np.where(counts > 0, sums / (counts + NEUTRAL), 0.0)
 
 
 class Smoothed:
@@ -210,10 +312,10 @@ def fit_counts(toxic: Counter, ordinary: Counter, order: int = ORDER, discount:
     return KneserNey(order, seen, after, ratios, {a: r for a, r in follows.items() if r}, share)
 
 
-def calibrate(model: KneserNey, ratios: np.ndarray, labels: np.ndarray, cut: float = 0.7) -> KneserNey:
-    """Set slope and shift so that ``cut`` is passed where both classes, weighing the same, err least."""
+def calibrate(ratios: np.ndarray, labels: np.ndarray, cut: float = 0.7) -> tuple[float, float]:
+    """(slope, shift) so that ``cut`` is passed where both classes, weighing the same, err least."""
     if not len(ratios) or labels.min() == labels.max():
-        return model
+        return 1.0, 0.0
     order = np.argsort(ratios, kind="stable")
     r, y = ratios[order], labels[order]
     pos, neg = y.sum(), (1 - y).sum()
@@ -224,12 +326,10 @@ def calibrate(model: KneserNey, ratios: np.ndarray, labels: np.ndarray, cut: flo
     i = int(best[len(best) // 2])
     edge = r[0] - 1e-6 if i == 0 else r[-1] + 1e-6 if i == len(r) else (r[i - 1] + r[i]) / 2
     spread = max(1e-6, float(np.median(r[y == 1]) - np.median(r[y == 0])))
-    model.slope = 8.0 / spread
-    model.shift = float(edge - math.log(cut / (1 - cut)) / model.slope)
-    return model
+    return 8.0 / spread, float(edge - math.log(cut / (1 - cut)) * spread / 8.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, order: int = ORDER, cut: float = 0.7) -> KneserNey:
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, order: int = ORDER, cut: float = 0.7) -> Trained:
     """Fit on a bounded sample of labelled rows with crc32(doc_id as text) mod 3 other than 1.
 
     At most ``max_toxic`` toxic rows and ORDINARY_EACH times as many ordinary ones
@@ -261,44 +361,63 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, order:
     counted = sample.where("not held").select("text", "toxic").mapInArrow(count, "first string, gram string, toxic int, n long")
     # Written, as spelling, pairs and their first words are read apart.
     counted = materialize(counted.groupBy("first", "gram").agg(*[F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]), "toxicity")
-    table = counted.where("first is null").toArrow()
-    names = table["gram"].to_pylist()
-    counts = tuple(Counter({g: n for g, n in zip(names, table[f"n{c}"].to_pylist(), strict=True) if n}) for c in (0, 1))
-    if not counts[0] or not counts[1]:
-        release(counted)
-        return KneserNey(order, {}, {})
-    often = counted.where(f"first is not null and greatest(n0, n1) > {PAIR_DISCOUNT}")
-    pairs = {(r.first, r.gram): (r.n0, r.n1) for r in often.select("first", "gram", "n0", "n1").toArrow().to_pandas().itertuples()}
+    spelling = counted.select(F.when(F.col("first").isNull(), 0).otherwise(1).alias("kind"), "first", "gram", "n0", "n1", F.lit(0.0).alias("f0"), F.lit(0.0).alias("f1")).where(f"first is null or greatest(n0, n1) > {PAIR_DISCOUNT}")
     sums = [F.sum(f"n{c}").alias(f"n{c}") for c in (0, 1)] + [F.sum(F.least(F.col(f"n{c}"), F.lit(PAIR_DISCOUNT))).alias(f"f{c}") for c in (0, 1)]
-    table2 = counted.where("first is not null").groupBy("first").agg(*sums).where("f0 < n0 or f1 < n1").toArrow().to_pandas()
-    firsts = {r.first: ((r.n0, r.f0), (r.n1, r.f1)) for r in table2.itertuples()}
+    firsts = counted.where("first is not null").groupBy("first").agg(*sums).where("f0 < n0 or f1 < n1").select(F.lit(2).alias("kind"), "first", F.lit(None).cast("string").alias("gram"), "n0", "n1", "f0", "f1")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity fit")
+        counts, pairs, starts = (Counter(), Counter()), {}, {}
+        for b in batches:
+            for kind, first, gram, n0, n1, f0, f1 in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if kind == 0:
+                    for c, n in ((counts[0], n0), (counts[1], n1)):
+                        if n:
+                            c[gram] = n
+                elif kind == 1:
+                    pairs[first, gram] = (n0, n1)
+                else:
+                    starts[first] = ((n0, f0), (n1, f1))
+        model = fit_counts(counts[1], counts[0], order, pairs=pairs, firsts=starts) if counts[0] and counts[1] else KneserNey(order, {}, {})
+        yield pa.RecordBatch.from_arrays([pa.array([model.dump()], pa.binary())], names=["model"])
+
+    # One task of bounded input: the sample's distinct expressions.
+    made = spelling.unionByName(firsts).repartition(1).mapInArrow(fit, "model binary").first()
     release(counted)
-    model = fit_counts(counts[1], counts[0], order, pairs=pairs, firsts=firsts)
-    sent = spark.sparkContext.broadcast(model)
-    held = sample.where("held").select("text", "toxic").mapInArrow(lambda it: _ratios(it, sent), "toxic int, ratio double").toArrow()
+    trained = Trained(bytes(made.model) if made else KneserNey(order, {}, {}).dump())
+    sent, mark = spark.sparkContext.broadcast(trained.model), uuid.uuid4().hex
+    held = sample.where("held").select("text", "toxic").mapInArrow(lambda it: _ratios(it, sent, mark), "toxic int, ratio double").toArrow()
     sent.destroy()
-    return calibrate(model, held["ratio"].to_numpy(), held["toxic"].to_numpy().astype(float), cut)
+    trained.slope, trained.shift = calibrate(held["ratio"].to_numpy(), held["toxic"].to_numpy().astype(float), cut)
+    return trained
 
 
-def _ratios(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    model = sent.value
-    kept: dict[str, float] = {}
-    for b in sliced(batches):
-        yield pa.RecordBatch.from_arrays([b.column(1), pa.array([model.ratio(t, kept) for t in b.column(0).to_pylist()], pa.float64())], names=["toxic", "ratio"])
+def _scorer(sent, mark: str) -> Scorer:
+    """This worker's scorer of a broadcast model."""
+    cache = worker_cache(f"toxicity {mark}")
+    if "scorer" not in cache:
+        cache["scorer"] = Scorer(KneserNey.load(sent.value))
+    return cache["scorer"]
 
 
-def score_texts(docs: DataFrame, model: KneserNey, cut: float = 0.7) -> DataFrame:
+def _ratios(batches: Iterator[pa.RecordBatch], sent, mark: str) -> Iterator[pa.RecordBatch]:
+    scorer = _scorer(sent, mark)
+    for b in sliced(batches, TEXTS):
+        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(scorer.ratios(b.column(0).to_pylist()))], names=["toxic", "ratio"])
+
+
+def score_texts(docs: DataFrame, trained: Trained, cut: float = 0.7) -> DataFrame:
     """All columns of ``docs`` (doc_id, text, ...) renamed c0, c1, ..., with score double and predicted int."""
-    sent, mark = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    sent, mark = docs.sparkSession.sparkContext.broadcast(trained.model), uuid.uuid4().hex
+    calibration = Trained(b"", trained.slope, trained.shift)
     named = [f"c{i}" for i in range(len(docs.columns))]
     i = docs.columns.index("text")
     fields = ", ".join(f"`{n}` {t.dataType.simpleString()}" for n, t in zip(named, docs.schema, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = worker_cache(f"toxicity {mark}").setdefault("words", {})
-        model = sent.value
-        for b in sliced(batches):
-            scores = np.array([model.score(model.ratio(t, kept)) for t in b.column(i).to_pylist()], float)
+        scorer = _scorer(sent, mark)
+        for b in sliced(batches, TEXTS):
+            scores = calibration.scores(scorer.ratios(b.column(i).cast(pa.string()).to_pylist()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores), pa.array((scores >= cut).astype(np.int32))], names=[*named, "score", "predicted"])
 
     return docs.toDF(*named).mapInArrow(run, f"{fields}, score double, predicted int")

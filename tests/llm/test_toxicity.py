@@ -82,7 +82,7 @@ def test_ratio_is_the_definition(text):
     for i, x in enumerate(w):
         p = [word(c, x) if not i else after(c, w[i - 1], x) for c in (0, 1)]
         total += math.log((1 - toxicity.SHARE) + toxicity.SHARE * p[1] / p[0])
-    assert model().ratio(text, {}) == pytest.approx(total / (len(w) + toxicity.NEUTRAL), abs=1e-12)
+    assert model().ratio(text) == pytest.approx(total / (len(w) + toxicity.NEUTRAL), abs=1e-12)
 
 
 def test_probabilities_sum_to_one():
@@ -105,7 +105,15 @@ def test_probabilities_sum_to_one():
 def test_signs_and_sides():
     m = model()
     assert m.word_ratio("idiot") > 0 > m.word_ratio("day")
-    assert m.ratio("idiot", {}) > 0 > m.ratio("day day", {})
-    assert m.ratio('"idiot" (idiot) so-called-idiot', {}) > m.ratio("idiot", {})
+    assert m.ratio("idiot") > 0 > m.ratio("day day")
+    assert m.ratio('"idiot" (idiot) so-called-idiot') > m.ratio("idiot")
     assert m.word_ratio("中") == pytest.approx(m.word_ratio("文"))
-    assert m.ratio("", {}) == m.ratio(None, {}) == m.ratio(" \n", {}) == 0
+    assert m.ratio("") == m.ratio(None) == m.ratio(" \n") == 0
+
+
+def test_scorer_is_the_model():
+    m = toxicity.KneserNey.load(model().dump())
+    texts = [*TOXIC, *ORDINARY, "idiots! are so-called-IDIOT words", "中文 xyz 12_3 😀😀", "", None, " ", "day idiot idiot day bad " * 50, "x" * 5000, "\x02bad\x03"]
+    got = toxicity.Scorer(m).ratios(texts)
+    assert got.tolist() == pytest.approx([m.ratio(t) for t in texts], abs=1e-12)
+    assert toxicity.Scorer(m).ratios([]).tolist() == [] and toxicity.Scorer(toxicity.KneserNey(4, {}, {})).ratios(["a b"]).tolist() == [0.0]

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scan import with_addresses
 
+FORMAT = 2
+
 
 def entries(rows: DataFrame, order: list[str], payload: str, base: int = 0) -> DataFrame:
     """Log entries of ``rows`` with (addr, len, next_addr) and the payload's CRC-32; empty payloads are refused, so they are left out."""
@@ -50,40 +53,84 @@ def self_check(log: DataFrame, payload: str) -> DataFrame:
     return log.agg(F.count("*").alias("entries"), F.count_if(~ok).alias("bad"), F.min(F.when(~ok, F.col("addr"))).alias("first_bad_addr"))
 
 
+def with_recomputed(log: DataFrame, payload: str = "payload") -> DataFrame:
+    """``log`` with ``valid``: whether an entry's payload has its stored length and CRC-32."""
+    data = F.col(payload).cast("binary")
+    return log.withColumn("valid", F.coalesce((F.crc32(data) == F.col("crc")) & (F.octet_length(data) == F.col("len")), F.lit(False)))
+
+
 class ByteLog:
-    """A byte log in a folder: Parquet parts and a manifest (begin, committed, tail) that is replaced last."""
+    """A byte log in a folder: Parquet parts and manifests (begin, committed, tail).
+
+    Each commit writes a manifest of the next number under a temporary name and renames
+    it; the newest counts and older ones go afterwards, so a crash at any point
+    leaves the log as it was or as it is now.  A part's name is never used twice, so parts
+    that no manifest names are never overwritten by, or read as, committed ones.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, check: bool = False, repair: bool = False):
+        """``check`` recomputes the checksums of committed entries and refuses a damaged log; ``repair`` cuts it before the first damaged one."""
         self.spark, self.path = spark, path.rstrip("/")
         jvm = spark._jvm
         self._file = jvm.org.apache.hadoop.fs.Path
         self._fs = self._file(self.path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
         self._fs.mkdirs(self._file(self.path))
-        found = self._read()
-        self.state = found or {"format_version": 1, "begin": 0, "committed": 0, "tail": 0, "parts": [], "closed": False}
+        self.state = self._read() or {"format_version": FORMAT, "number": 0, "begin": 0, "committed": 0, "tail": 0, "parts": [], "closed": False}
+        if self.state["format_version"] != FORMAT:
+            raise ValueError(f"format {self.state['format_version']} is not {FORMAT}")
+        names = self._manifests()
+        self.state["number"] = max(self.state["number"], int(names[-1][9:-5]) if names else 0)  # one may be broken
+        self.last_error: str | None = None
+        if check or repair:
+            self.check_on_open(repair)
+
+    def _manifests(self) -> list[str]:
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._file(self.path))]
+        return sorted(n for n in names if n.startswith("manifest-") and n.endswith(".json"))
 
     def _read(self) -> dict | None:
-        p = self._file(f"{self.path}/manifest.json")
-        if not self._fs.exists(p):
-            return None
-        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.path}/manifest.json").collect()))
+        for name in reversed(self._manifests()):
+            stream = self._fs.open(self._file(f"{self.path}/{name}"))
+            try:
+                return json.loads(bytes(stream.readAllBytes()))
+            except ValueError:  # not written whole
+                continue
+            finally:
+                stream.close()
+        return None
 
     def _write(self) -> None:
-        text, final = self._file(f"{self.path}/manifest.tmp"), self._file(f"{self.path}/manifest.json")
-        out = self._fs.create(text, True)
+        self.state["number"] += 1
+        name = f"manifest-{self.state['number']:012d}"
+        text = self._file(f"{self.path}/{name}.{uuid.uuid4().hex}.tmp")
+        out = self._fs.create(text, False)
         out.write(bytearray(json.dumps(self.state).encode()))
         out.close()
-        self._fs.delete(final, False)
-        self._fs.rename(text, final)
+        if not self._fs.rename(text, self._file(f"{self.path}/{name}.json")):
+            raise RuntimeError(f"{name} exists: another writer has committed")
+        for old in self._manifests():
+            if old < f"{name}.json":
+                self._fs.delete(self._file(f"{self.path}/{old}"), False)
+
+    def check_on_open(self, repair: bool = False) -> dict:
+        """Committed entries, how many are damaged, and the first damaged address; ``repair`` cuts the tail there."""
+        found = with_recomputed(self.scan_all()).agg(F.count("*").alias("entries"), F.count_if(~F.col("valid")).alias("bad"), F.min(F.when(~F.col("valid"), F.col("addr"))).alias("first_bad_addr")).first().asDict()
+        if found["bad"]:
+            if not repair:
+                raise ValueError(f"{found['bad']} damaged entries from {found['first_bad_addr']} on")
+            self.state["committed"] = self.state["tail"] = found["first_bad_addr"]
+            self._write()
+        return found
 
     def append(self, rows: DataFrame, order: list[str], payload: str) -> None:
         """Append a batch; it is visible to scans after :meth:`commit`."""
         if self.state["closed"]:
-            raise RuntimeError("the log is closed")
-        part = f"part-{len(self.state['parts']):06d}"
-        entries(rows, order, payload, self.state["tail"]).select("addr", "len", "next_addr", "crc", F.col(payload).cast("binary").alias("payload")).write.mode("overwrite").parquet(f"{self.path}/{part}")
+            self.last_error = "the log is closed"
+            raise RuntimeError(self.last_error)
+        part = f"part-{len(self.state['parts']):06d}-{uuid.uuid4().hex}"
+        entries(rows, order, payload, self.state["tail"]).select("addr", "len", "next_addr", "crc", F.col(payload).cast("binary").alias("payload")).write.parquet(f"{self.path}/{part}")
         end = self.spark.read.parquet(f"{self.path}/{part}").agg(F.max("next_addr")).first()[0]
-        self.state["parts"].append(part)
+        self.state["parts"].append({"name": part, "begin": self.state["tail"], "end": end or self.state["tail"]})
         self.state["tail"] = end or self.state["tail"]
 
     def commit(self) -> int:
@@ -92,16 +139,34 @@ class ByteLog:
         return self.state["committed"]
 
     def scan_all(self) -> DataFrame:
-        """Committed entries from begin."""
-        parts = [f"{self.path}/{p}" for p in self.state["parts"]]
-        if not parts:
-            return self.spark.createDataFrame([], "addr long, len long, next_addr long, crc long, payload binary")
-        return scan(self.spark.read.parquet(*parts), self.state["begin"], self.state["committed"])
+        """Committed entries from begin.
+
+        A part holds the addresses it was written for, so what a repair has cut from
+        an older part stays cut when later ones reuse its addresses.
+        """
+        out = self.spark.createDataFrame([], "addr long, len long, next_addr long, crc long, payload binary")
+        ends = [p["begin"] for p in self.state["parts"][1:]] + [self.state["committed"]]
+        for p, end in zip(self.state["parts"], ends, strict=True):
+            a, z = max(p["begin"], self.state["begin"]), min(p["end"], end, self.state["committed"])
+            if a < z:
+                out = out.unionByName(scan(self.spark.read.schema(out.schema).parquet(f"{self.path}/{p['name']}"), a, z))
+        return out
 
     def truncate(self, addr: int) -> None:
+        """Entries below ``addr`` go; an error past what is committed."""
         self.state["begin"] = truncate_before(self.state["begin"], self.state["committed"], addr)
         self._write()
 
+    def truncate_until(self, addr: int) -> None:
+        """The unguarded form: begin is ``addr``, or what is committed if that is less."""
+        self.state["begin"] = max(self.state["begin"], min(addr, self.state["committed"]))
+        self._write()
+
+    def stats(self) -> dict:
+        """Addresses, sizes and state of the log."""
+        s = self.state
+        return {"begin": s["begin"], "committed": s["committed"], "tail": s["tail"], "uncommitted": s["tail"] - s["committed"], "parts": len(s["parts"]), "closed": s["closed"], "last_error": self.last_error}
+
     def close(self) -> None:
         self.state["closed"] = True
         self._write()

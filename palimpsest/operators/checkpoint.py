@@ -64,6 +64,12 @@ def check_sessions(states: DataFrame, expected: int | None = None) -> list[str]:
     ]
 
 
+def checksum(rows: DataFrame) -> tuple[int, int]:
+    """(rows, XOR of their hashes): equal for equal rows in any order."""
+    row = rows.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*sorted(rows.columns))), F.lit(0)).alias("x")).first()
+    return row.n, row.x
+
+
 class CheckpointStore:
     """Checkpoints below a folder: data first, under a temporary name, then the rename, the manifest last.
 
@@ -82,13 +88,23 @@ class CheckpointStore:
         """Call ``callback(manifest)`` after each checkpoint."""
         self.callbacks.append(callback)
 
+    def _claim(self) -> int:
+        """The next version; a file that only one writer can create claims it."""
+        folder = self._file(f"{self.path}/_versions")
+        self._fs.mkdirs(folder)
+        version = 1 + max([int(s.getPath().getName()) for s in self._fs.listStatus(folder)] + [m["version"] for m in self.manifests()], default=0)
+        while not self._fs.createNewFile(self._file(folder, f"{version:012d}")):
+            version += 1
+        return version
+
     def _save(self, kind: str, data: DataFrame, begin: int, final: int, sessions: dict[str, int], base: str = "") -> str:
         token = uuid.uuid4().hex
         folder = f"{self.path}/{token}"
         data.write.parquet(f"{folder}.tmp/data")
         self._fs.rename(self._file(f"{folder}.tmp"), self._file(folder))
-        version = 1 + max([m["version"] for m in self.manifests()], default=0)
-        manifest = {"format_version": 1, "token": token, "version": version, "kind": kind, "base_token": base, "begin_seq": begin, "final_seq": final, "sessions": {str(k): v for k, v in sessions.items()}}
+        rows, check = checksum(self.data(token))
+        version = self._claim()
+        manifest = {"format_version": 1, "rows": rows, "checksum": check, "token": token, "version": version, "kind": kind, "base_token": base, "begin_seq": begin, "final_seq": final, "sessions": {str(k): v for k, v in sessions.items()}}
         out = self._fs.create(self._file(f"{folder}/manifest.json"), False)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
@@ -102,6 +118,17 @@ class CheckpointStore:
     def log_only(self, log: DataFrame, begin: int, final: int, sessions: dict[str, int] | None = None) -> str:
         return self._save("log", delta(log, begin, final), begin, final, sessions or {})
 
+    def tiers(self, hot: DataFrame, cold: DataFrame, final: int, sessions: dict[str, int] | None = None) -> str:
+        """The newest records of a hot and a cold log under one token."""
+        parts = [raw_latest(t.where(F.col("seq") < final)).withColumn("invalid", F.lit(False)).withColumn("tier", F.lit(name)) for t, name in ((hot, "hot"), (cold, "cold"))]
+        return self._save("tiers", parts[0].unionByName(parts[1]), 0, final, sessions or {})
+
+    def recover_tiers(self, token: str | None = None) -> tuple[DataFrame, DataFrame, dict]:
+        """(hot, cold, manifest) of a checkpoint of both tiers, the newest by default."""
+        m = self._one(token or self._newest(("tiers",)), "tiers")
+        rows = self.data(m["token"])
+        return rows.where("tier = 'hot'").drop("tier"), rows.where("tier = 'cold'").drop("tier"), m
+
     def index_only(self, log: DataFrame, final: int) -> str:
         return self._save("index", raw_latest(log.where(F.col("seq") < final)).select("key", "seq"), 0, final, {})
 
@@ -114,14 +141,23 @@ class CheckpointStore:
         rows = delta(log, base["final_seq"], final).select("key", "seq", "value", "tombstone", "invalid")
         return self._save("incremental", rows, base["final_seq"], final, sessions or {}, base["token"])
 
+    def _json(self, path) -> dict | None:
+        stream = self._fs.open(path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        except ValueError:  # not written whole
+            return None
+        finally:
+            stream.close()
+
     def manifests(self) -> list[dict]:
-        """All complete checkpoints; folders without a manifest do not count."""
+        """All complete checkpoints; folders without a whole manifest do not count."""
         out = []
         for s in self._fs.listStatus(self._file(self.path)):
             p = self._file(s.getPath(), "manifest.json")
-            if s.isDirectory() and self._fs.exists(p):
-                out.append(json.loads("".join(r.value for r in self.spark.read.text(p.toString()).collect())))
-        return sorted(out, key=lambda m: m["version"])
+            if s.isDirectory() and self._fs.exists(p) and (m := self._json(p)):
+                out.append(m)
+        return sorted(out, key=lambda m: (m["version"], m["token"]))
 
     def table(self) -> DataFrame:
         """The manifests as a table."""
@@ -141,22 +177,63 @@ class CheckpointStore:
             raise ValueError("the chain has no full base, or a gap")
         return out
 
-    def recover(self, token: str | None = None) -> tuple[DataFrame, dict]:
-        """(live keys, manifest) of a checkpoint, the newest by default."""
-        token = token or next(m["token"] for m in reversed(self.manifests()) if m["kind"] in ("full", "incremental"))
-        chain = self.chain(token)
-        return apply_chain(*[self.spark.read.parquet(f"{self.path}/{m['token']}/data") for m in chain]), chain[-1]
+    def _newest(self, kinds: tuple[str, ...]) -> str:
+        found = [m["token"] for m in self.manifests() if m["kind"] in kinds]
+        if not found:
+            raise LookupError(f"no checkpoint of kind {' or '.join(kinds)} below {self.path}")
+        return found[-1]
+
+    def _one(self, token: str, kind: str) -> dict:
+        for m in self.manifests():
+            if m["token"] == token:
+                if m["kind"] != kind:
+                    raise ValueError(f"checkpoint {token} is of kind {m['kind']}, not {kind}")
+                return m
+        raise ValueError(f"checkpoint {token} is missing")
 
-    def self_check(self, repair: bool = False) -> dict[str, list[str]]:
-        """Folders without a manifest, and checkpoints whose chain is broken; ``repair`` deletes them."""
+    def data(self, token: str) -> DataFrame:
+        """A checkpoint's own rows."""
+        return self.spark.read.parquet(f"{self.path}/{token}/data")
+
+    def recover(self, token: str | None = None) -> tuple[DataFrame, dict]:
+        """(live keys, manifest) of a full or incremental checkpoint, the newest by default."""
+        chain = self.chain(token or self._newest(("full", "incremental")))
+        return apply_chain(*[self.data(m["token"]) for m in chain]), chain[-1]
+
+    def recover_log_only(self, token: str | None = None) -> tuple[DataFrame, dict]:
+        """(records, manifest) of a log checkpoint, the newest by default: the records of [begin_seq, final_seq)."""
+        m = self._one(token or self._newest(("log",)), "log")
+        return self.data(m["token"]), m
+
+    def recover_index_only(self, log: DataFrame, token: str | None = None) -> tuple[DataFrame, dict]:
+        """(live keys, manifest) from an index checkpoint, the newest by default, and the log it points into.
+
+        The index says which record of the log is each key's newest; records after its
+        final_seq are replayed over it.
+        """
+        m = self._one(token or self._newest(("index",)), "index")
+        index = self.data(m["token"])
+        pointed = log.where(F.col("seq") < m["final_seq"]).join(index.select("key", "seq"), ["key", "seq"], "left_semi")
+        after = log.where(F.col("seq") >= m["final_seq"])
+        return apply_chain(pointed, after), m
+
+    def verify(self, token: str) -> bool:
+        """Whether a checkpoint's rows still have the checksum of its manifest."""
+        (m,) = [x for x in self.manifests() if x["token"] == token]
+        return checksum(self.data(token)) == (m["rows"], m["checksum"])
+
+    def self_check(self, repair: bool = False, data: bool = False) -> dict[str, list[str]]:
+        """Folders without a manifest, and checkpoints whose chain is broken or, if ``data``, whose rows fail their checksum; ``repair`` deletes them."""
         partial, broken = [], []
         for s in self._fs.listStatus(self._file(self.path)):
-            if s.isDirectory() and not self._fs.exists(self._file(s.getPath(), "manifest.json")):
+            if s.isDirectory() and s.getPath().getName() != "_versions" and not self._fs.exists(self._file(s.getPath(), "manifest.json")):
                 partial.append(s.getPath().getName())
         for m in self.manifests():
             try:
                 if m["kind"] in ("full", "incremental"):
                     self.chain(m["token"])
+                if data and not self.verify(m["token"]):
+                    raise ValueError("the rows have changed")
             except ValueError:
                 broken.append(m["token"])
         if repair:

@@ -74,11 +74,22 @@ def fold_ordered(stream: DataFrame, merge: Callable[[Column, Column], Column], i
     return stream.groupBy("key").agg(F.aggregate(rows, initial, merge).alias("value"))
 
 
-def serials(stream: DataFrame) -> DataFrame:
-    """:func:`op_status` with ``serial``: successful mutations of the session so far; reads do not count."""
-    out = op_status(stream)
+def serials(stream: DataFrame, stride: int = 65536) -> DataFrame:
+    """:func:`op_status` with ``serial``: successful mutations of the session so far; reads do not count.
+
+    Sums of stretches of ``stride`` seqs run on by session, and a window adds the rest within
+    a stretch, so a session that holds most operations is not one task's.
+    """
     done = ((F.col("op") != "read") & (F.col("status") == OK)).cast("long")
-    return out.withColumn("serial", F.sum(done).over(Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
+    out = op_status(stream).withColumn("_done", done).withColumn("_stretch", F.floor(F.col("seq") / stride))
+    sums = out.groupBy("session", "_stretch").agg(F.sum("_done").alias("_sum"))
+    before = Window.partitionBy("session").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)  # one row a stretch
+    starts = sums.select("session", "_stretch", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("session", "_stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("o.session").eqNullSafe(F.col("s.session")) & (F.col("o._stretch") == F.col("s._stretch"))
+    rows = out.withColumn("_in", F.sum("_done").over(within)).alias("o").join(starts.alias("s"), same)
+    names = [c for c in out.columns if c not in ("_done", "_stretch")]
+    return rows.select(*[F.col(f"o.{c}") for c in names], (F.col("s._start") + F.col("o._in")).alias("serial"))
 
 
 def to_log(folded: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import ABORTED, OK
+
 
 def raw_latest(log: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(key, seq, value, tombstone): newest record of every key, tombstones too.
@@ -38,8 +40,22 @@ def multi_read(log: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def conditional_insert(log: DataFrame, batch: DataFrame) -> DataFrame:
-    """Rows of ``batch`` (key, value) whose key is absent or deleted in ``log``."""
-    return batch.join(latest(log).select("key"), "key", "left_anti")
+    """Rows of ``batch`` (key, value, and seq where rows of one key have an order) that insert: those whose key is absent or deleted in ``log``.
+
+    Of rows that repeat a key the first by seq inserts and the others abort; without a
+    seq the first is the one of least value, nulls first.
+    """
+    order = "seq" if "seq" in batch.columns else "value"
+    rest = [c for c in batch.columns if c != "key"]
+    first = F.min_by(F.struct(*rest), F.struct(F.col(order).isNotNull(), F.col(order))).alias("r")
+    return batch.groupBy("key").agg(first).select("key", *[F.col(f"r.{c}").alias(c) for c in rest]).join(latest(log).select("key"), "key", "left_anti").select(*batch.columns)
+
+
+def conditional_insert_status(log: DataFrame, batch: DataFrame) -> DataFrame:
+    """``batch`` (key, seq, ...) with ``status``: Ok for the first row of a key that is absent or deleted in ``log``, Aborted for all others."""
+    first = conditional_insert(log, batch.select("key", "seq")).select(F.col("key").alias("_key"), F.col("seq").alias("_seq"))
+    joined = batch.join(first, (F.col("key") == F.col("_key")) & (F.col("seq") == F.col("_seq")), "left")
+    return joined.withColumn("status", F.when(F.col("_key").isNotNull(), OK).otherwise(ABORTED)).drop("_key", "_seq")
 
 
 def version_chain(log: DataFrame) -> DataFrame:

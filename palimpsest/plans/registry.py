@@ -53,11 +53,22 @@ def cut(spark: SparkSession, d: str, share: float) -> int:
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one the cluster shares; a temporary one only where the session names none."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-")
+    """A new folder below the one the cluster shares; a temporary one only where the session names none and all runs on one machine."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="palimpsest-")
     return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder."""
+    path = work_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def log_of(spark: SparkSession, d: str) -> DataFrame:
     return fold.to_log(fold.fold(ops(spark, d)))
 
@@ -300,7 +311,7 @@ def ckpt_chain_apply(spark, d):
 
 @register(f"{LOG} SELECT key, max(seq) AS seq, arg_max(coalesce(value, -1), seq) AS value FROM l WHERE seq < {THREE} GROUP BY key HAVING NOT arg_max(tombstone, seq)")
 def ckpt_store_recover(spark, d):
-    log = log_of(spark, d)
+    log = written(spark, log_of(spark, d), "log")  # folded once for three checkpoints
     kept = checkpoint.CheckpointStore(spark, work_folder(spark, "checkpoints"))
     for share in (0.25, 0.5, 0.75):
         kept.incremental(log, cut(spark, d, share))
@@ -450,3 +461,53 @@ def log_bounds(spark, d):
     return scan.bounds(log_of(spark, d))
 
 
+@register(f"{NEWEST} SELECT o_orderkey AS seq, o_custkey AS key, CASE WHEN o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) AND NOT EXISTS (SELECT 1 FROM n WHERE n.key = o_custkey AND NOT tombstone) THEN 'Ok' ELSE 'Aborted' END AS status FROM orders")
+def kv_conditional_insert_status(spark, d):
+    """Each customer's orders as conditional inserts of the customer's key: the first may insert, the others abort."""
+    batch = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("key"))
+    return snapshot.conditional_insert_status(log_of(spark, d), batch).select("seq", "key", "status")
+
+
+def damaged(spark, d):
+    """A byte log whose payloads of every 50th conversation were changed after their checksums were taken."""
+    log = entries(spark, d)
+    return bytelog.with_recomputed(log.withColumn("text", F.when(F.col("conv_id") % 50 == 49, F.concat(F.lit("?"), F.expr("substring(text, 2)"))).otherwise(F.col("text"))), "text")
+
+
+CHANGED = "conv_id % 50 = 49 AND text NOT LIKE '?%'"
+
+
+@register(f"WITH {BYTES} SELECT count(*) AS entries, count(*) FILTER ({CHANGED}) AS bad, (min(addr) FILTER ({CHANGED}))::BIGINT AS first_bad_addr FROM b")
+def bytelog_self_check_damaged(spark, d):
+    return bytelog.self_check(damaged(spark, d), "text")
+
+
+@register(f"WITH {BYTES} SELECT conv_id, turn, addr::BIGINT AS addr FROM b WHERE addr < coalesce((SELECT min(addr) FROM b WHERE {CHANGED}), 9223372036854775807)")
+def bytelog_recover_checksums(spark, d):
+    return bytelog.recover(damaged(spark, d)).select("conv_id", "turn", "addr")
+
+
+@register(f"{LOG} SELECT seq, key, value, tombstone FROM l WHERE seq >= {QUARTER} AND seq < {HALF}")
+def ckpt_log_only_recover(spark, d):
+    kept = checkpoint.CheckpointStore(spark, work_folder(spark, "checkpoints"))
+    kept.log_only(log_of(spark, d), cut(spark, d, 0.25), cut(spark, d, 0.5))
+    return kept.recover_log_only()[0].select("seq", "key", "value", "tombstone")
+
+
+@register(f"{NEWEST} SELECT key, seq, value FROM n WHERE NOT tombstone")
+def ckpt_index_only_recover(spark, d):
+    """The index of the first half, and the rest of the log replayed over it."""
+    log = written(spark, log_of(spark, d), "log")
+    kept = checkpoint.CheckpointStore(spark, work_folder(spark, "checkpoints"))
+    kept.index_only(log, cut(spark, d, 0.5))
+    return kept.recover_index_only(log)[0].select("key", "seq", "value")
+
+
+@register(f"{NEWEST} SELECT key, value, CASE WHEN seq >= {HALF} THEN 'hot' ELSE 'cold' END AS tier FROM n WHERE NOT tombstone")
+def ckpt_tiers_recover(spark, d):
+    log = written(spark, log_of(spark, d), "log")
+    half, end = cut(spark, d, 0.5), cut(spark, d, 1.0)
+    kept = checkpoint.CheckpointStore(spark, work_folder(spark, "checkpoints"))
+    kept.tiers(log.where(F.col("seq") >= half), log.where(F.col("seq") < half), end)
+    hot, cold, _ = kept.recover_tiers()
+    return tiering.tier_read(hot, cold)

@@ -224,3 +224,80 @@ def test_stateful_stream(spark, rows, stream, tmp_path):
     query.awaitTermination()
     got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("seq").select("seq", "status", "value").collect()]
     assert got == model(rows)[0]
+
+
+def test_conditional_insert_repeated_keys(spark):
+    log = spark.createDataFrame([(1, 1, 10, False, False), (2, 2, 20, False, False), (3, 2, None, True, False)], "seq long, key long, value long, tombstone boolean, invalid boolean")
+    batch = spark.createDataFrame([(5, 1, 1), (5, 2, 2), (1, 3, 3), (2, 4, 4), (2, 5, 5)], "key long, value long, seq long")
+    assert sorted(map(tuple, snapshot.conditional_insert(log, batch).collect())) == [(2, 4, 4), (5, 1, 1)]
+    status = {r.seq: r.status for r in snapshot.conditional_insert_status(log, batch).collect()}
+    assert status == {1: "Ok", 2: "Aborted", 3: "Aborted", 4: "Ok", 5: "Aborted"}
+    assert sorted(map(tuple, snapshot.conditional_insert(log, batch.select("key", "value")).collect())) == [(2, 4), (5, 1)]
+
+
+def test_bytelog_crash_between_manifests(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = lambda a, z: spark.range(a, z).selectExpr("id", "cast(concat('p', id) as string) payload")
+    log = bytelog.ByteLog(spark, path)
+    log.append(rows(0, 5), ["id"], "payload")
+    log.commit()
+    (tmp_path / "log" / "manifest-000000000002.json").write_bytes(b'{"format_ver')  # a commit that broke off
+    again = bytelog.ByteLog(spark, path)
+    assert again.scan_all().count() == 5 and again.stats()["committed"] == log.state["committed"]
+    again.append(rows(5, 7), ["id"], "payload")  # never committed
+    last = bytelog.ByteLog(spark, path)
+    assert last.scan_all().count() == 5
+
+
+def test_bytelog_damage_is_found_and_cut(spark, tmp_path):
+    import pyspark.sql.functions as F
+
+    path = str(tmp_path / "log")
+    log = bytelog.ByteLog(spark, path)
+    log.append(spark.range(20).selectExpr("id", "concat('payload ', id) payload"), ["id"], "payload")
+    log.commit()
+    part = f"{path}/{log.state['parts'][0]['name']}"
+    bad = spark.read.parquet(part).withColumn("payload", F.when(F.col("addr") == 320, F.lit(b"other")).otherwise(F.col("payload")))
+    bad.write.parquet(f"{path}/copy")
+    import shutil
+
+    shutil.rmtree(part)
+    shutil.move(f"{path}/copy", part)
+    with pytest.raises(ValueError, match="damaged"):
+        bytelog.ByteLog(spark, path, check=True)
+    mended = bytelog.ByteLog(spark, path, repair=True)
+    assert mended.stats()["tail"] == 320 and mended.scan_all().agg(F.max("addr")).first()[0] < 320
+    mended.append(spark.range(3).selectExpr("id", "concat('new ', id) payload"), ["id"], "payload")
+    mended.commit()
+    assert {bytes(r.payload) for r in mended.scan_all().where("addr >= 320").collect()} == {b"new 0", b"new 1", b"new 2"}
+    mended.truncate_until(10**9)
+    assert mended.scan_all().count() == 0
+
+
+def test_checkpoint_kinds_recover(spark, tmp_path):
+    log = spark.createDataFrame([(1, 1, 10, False, False), (2, 2, 20, False, False), (3, 1, 11, False, False), (4, 2, None, True, False), (5, 3, 30, False, False)], "seq long, key long, value long, tombstone boolean, invalid boolean")
+    store = checkpoint.CheckpointStore(spark, str(tmp_path / "c"))
+    with pytest.raises(LookupError):
+        store.recover()
+    part, index, full = store.log_only(log, 2, 5), store.index_only(log, 4), store.full(log, 6)
+    assert [m["version"] for m in store.manifests()] == [1, 2, 3]
+    records, m = store.recover_log_only()
+    assert sorted(r.seq for r in records.collect()) == [2, 3, 4] and m["token"] == part
+    live, m = store.recover_index_only(log)
+    assert sorted((r.key, r.value) for r in live.collect()) == [(1, 11), (3, 30)] and m["token"] == index
+    assert sorted((r.key, r.value) for r in store.recover()[0].collect()) == [(1, 11), (3, 30)]
+    with pytest.raises(ValueError, match="of kind"):
+        store.recover_log_only(full)
+    assert store.verify(full) and store.self_check(data=True) == {"partial": [], "broken": []}
+    store.data(full).limit(1).coalesce(1).write.mode("append").parquet(f"{store.path}/{full}/data")
+    assert store.self_check(data=True)["broken"] == [full]
+
+
+def test_serials_over_stretches(spark):
+    stream = spark.range(3000).selectExpr("id seq", "id % 7 key", "case when id % 5 = 0 then 'read' else 'upsert' end op", "id val", "cast(0 as long) session")
+    got = {r.seq: r.serial for r in fold.serials(stream, stride=100).collect()}
+    n, want = 0, {}
+    for i in range(3000):
+        n += i % 5 != 0
+        want[i] = n
+    assert got == want

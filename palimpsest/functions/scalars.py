@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +50,35 @@ def compat_hash_bytes(data: Column) -> Column:
     return _signed(_rotated(_mixed(state, 0), ROTATE_BYTES))
 
 
+def hash_name(name: str) -> str:
+    """The algorithm that ``name`` means, in any case: xxh3, xxh64 or compatible."""
+    for known, names in (("xxh3", ("xxh3", "xxhash3")), ("xxh64", ("xxh64", "xxhash64")), ("compatible", ("compatible", "compat"))):
+        if name.lower() in names:
+            return known
+    raise ValueError(f"unknown hash {name}")
+
+
+def hash64(data: Column, algorithm: str = "xxh3") -> Column:
+    """The 64-bit hash of a binary or string, as a long; null of null.
+
+    Spark's own ``xxhash64`` has seed 42 over typed values, so XXH3 and XXH64 of
+    seed 0 go through Arrow batches; the compatible hash is an expression.
+    """
+    known = hash_name(algorithm)
+    if known == "compatible":
+        return compat_hash_bytes(data)
+    return _xxh(known)(data.cast("binary"))
+
+
+def _xxh(known: str):
+    @F.pandas_udf("long")
+    def hashed(data: pd.Series) -> pd.Series:
+        digest = xxhash.xxh3_64_intdigest if known == "xxh3" else xxhash.xxh64_intdigest
+        return pd.Series([None if x is None else (digest(bytes(x)) ^ 1 << 63) - (1 << 63) for x in data], dtype="Int64")
+
+    return hashed
+
+
 def key_bucket(hashed: Column, table_size: int) -> Column:
     """Bucket of a 64-bit hash."""
     return hashed.bitwiseAND(F.lit(table_size - 1))
@@ -85,3 +116,48 @@ def span_header(value: Column) -> Column:
 def span_text(value: Column) -> Column:
     """The payload as text."""
     return F.decode(value["payload"], "UTF-8")
+
+
+def span_equals(a: Column, b: Column) -> Column:
+    """Whether payloads and metadata are equal; null equals null."""
+    return a["payload"].eqNullSafe(b["payload"]) & a["metadata"].eqNullSafe(b["metadata"])
+
+
+def span_hash(value: Column, algorithm: str = "compatible") -> Column:
+    """The hash of the payload; metadata takes no part."""
+    return hash64(value["payload"], algorithm)
+
+
+def span_with_metadata(value: Column, metadata: Column | None) -> Column:
+    """The span with other metadata, or with none."""
+    return span(value["payload"], metadata)
+
+
+def span_with_length(value: Column, length: Column | int) -> Column:
+    """The span with its payload cut, or filled with zero bytes, to ``length`` bytes."""
+    length = F.lit(length) if isinstance(length, int) else length
+    digits = F.rpad(F.hex(value["payload"]), (length * 2).cast("int"), F.lit("0"))
+    return span(F.unhex(digits), value["metadata"])
+
+
+def _little(digits: Column, octets: int) -> Column:
+    return F.concat(*[F.substring(digits, 2 * (octets - i) - 1, 2) for i in range(octets)])
+
+
+def span_bytes(value: Column) -> Column:
+    """The serialized span: the header as 4 little-endian bytes, 8 of metadata if there is any, the payload."""
+    header = _little(F.lpad(F.hex(span_header(value)), 8, "0"), 4)
+    metadata = F.when(value["metadata"].isNotNull(), _little(F.lpad(F.hex(value["metadata"]), 16, "0"), 8)).otherwise("")
+    return F.unhex(F.concat(header, metadata, F.hex(value["payload"])))
+
+
+def span_of_bytes(data: Column) -> Column:
+    """The span that :func:`span_bytes` wrote; null where the bytes are shorter than their header says, or lack one."""
+    digits = F.hex(data)
+    header = F.conv(_little(F.substring(digits, 1, 8), 4), 16, 10).cast("long")
+    length, marked = header.bitwiseAND(F.lit(LENGTH_MASK)), header.bitwiseAND(F.lit(METADATA)) != 0
+    start = F.when(marked, 8).otherwise(0)
+    metadata = F.when(marked, _signed(F.conv(_little(F.substring(digits, 9, 16), 8), 16, 10).cast("decimal(38,0)")))
+    payload = F.unhex(F.substring(digits, 9 + 2 * start, (2 * (length - start)).cast("int")))
+    whole = (F.octet_length(data) >= 4) & (length >= start) & (F.octet_length(data) >= 4 + length)
+    return F.when(whole, span(payload, metadata))

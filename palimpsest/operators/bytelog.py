@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.manifest import Manifests
 from .scan import with_addresses
 
 FORMAT = 2
@@ -62,55 +62,27 @@ def with_recomputed(log: DataFrame, payload: str = "payload") -> DataFrame:
 class ByteLog:
     """A byte log in a folder: Parquet parts and manifests (begin, committed, tail).
 
-    Each commit writes a manifest of the next number under a temporary name and renames
-    it; the newest counts and older ones go afterwards, so a crash at any point
-    leaves the log as it was or as it is now.  A part's name is never used twice, so parts
+    Each commit writes a numbered manifest, so a crash at any point leaves the log as
+    it was or as it is now.  A part's name is never used twice, so parts
     that no manifest names are never overwritten by, or read as, committed ones.
     """
 
     def __init__(self, spark: SparkSession, path: str, check: bool = False, repair: bool = False):
         """``check`` recomputes the checksums of committed entries and refuses a damaged log; ``repair`` cuts it before the first damaged one."""
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._file = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._file(self.path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-        self._fs.mkdirs(self._file(self.path))
-        self.state = self._read() or {"format_version": FORMAT, "number": 0, "begin": 0, "committed": 0, "tail": 0, "parts": [], "closed": False}
+        self._kept = Manifests(spark, self.path)
+        self._kept.make_folder()
+        self.state = self._kept.read() or {"format_version": FORMAT, "number": 0, "begin": 0, "committed": 0, "tail": 0, "parts": [], "closed": False}
         if self.state["format_version"] != FORMAT:
             raise ValueError(f"format {self.state['format_version']} is not {FORMAT}")
-        names = self._manifests()
-        self.state["number"] = max(self.state["number"], int(names[-1][9:-5]) if names else 0)  # one may be broken
+        self.state["number"] = max(self.state["number"], self._kept.last_number())  # one may be broken
         self.last_error: str | None = None
         if check or repair:
             self.check_on_open(repair)
 
-    def _manifests(self) -> list[str]:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._file(self.path))]
-        return sorted(n for n in names if n.startswith("manifest-") and n.endswith(".json"))
-
-    def _read(self) -> dict | None:
-        for name in reversed(self._manifests()):
-            stream = self._fs.open(self._file(f"{self.path}/{name}"))
-            try:
-                return json.loads(bytes(stream.readAllBytes()))
-            except ValueError:  # not written whole
-                continue
-            finally:
-                stream.close()
-        return None
-
     def _write(self) -> None:
         self.state["number"] += 1
-        name = f"manifest-{self.state['number']:012d}"
-        text = self._file(f"{self.path}/{name}.{uuid.uuid4().hex}.tmp")
-        out = self._fs.create(text, False)
-        out.write(bytearray(json.dumps(self.state).encode()))
-        out.close()
-        if not self._fs.rename(text, self._file(f"{self.path}/{name}.json")):
-            raise RuntimeError(f"{name} exists: another writer has committed")
-        for old in self._manifests():
-            if old < f"{name}.json":
-                self._fs.delete(self._file(f"{self.path}/{old}"), False)
+        self._kept.write(self.state, self.state["number"])
 
     def check_on_open(self, repair: bool = False) -> dict:
         """Committed entries, how many are damaged, and the first damaged address; ``repair`` cuts the tail there."""
@@ -170,3 +142,18 @@ class ByteLog:
     def close(self) -> None:
         self.state["closed"] = True
         self._write()
+
+
+def inspect(spark: SparkSession, path: str) -> dict:
+    """What a folder's log is, without opening it to write: valid, metadata, stats, and the checksums of its committed entries.
+
+    A missing folder, one without a readable manifest, or one of another format is not valid
+    and has no more fields.
+    """
+    kept = Manifests(spark, path)
+    state = kept.read() if kept.exists() else None
+    if state is None or state.get("format_version") != FORMAT:
+        return {"valid": False}
+    log = ByteLog(spark, path)
+    found = self_check(log.scan_all(), "payload").first().asDict()
+    return {"valid": found["bad"] == 0, "metadata": {k: state[k] for k in ("format_version", "number", "closed")}, "stats": log.stats(), "check": found}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..schema import MAX_SESSIONS
 from .snapshot import raw_latest
 
+FORMAT = 2
 MANIFEST = "token string, version int, kind string, base_token string, begin_seq long, final_seq long, sessions map<string,long>"
 
 
@@ -74,7 +75,8 @@ class CheckpointStore:
     """Checkpoints below a folder: data first, under a temporary name, then the rename, the manifest last.
 
     Kinds: full (snapshot of the latest records), log (the records themselves),
-    index (key to seq), incremental (records since the base).
+    index (key to seq), incremental (records since the base), tiers (two logs),
+    foldover (a range of the log, no rows).
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -97,14 +99,26 @@ class CheckpointStore:
             version += 1
         return version
 
-    def _save(self, kind: str, data: DataFrame, begin: int, final: int, sessions: dict[str, int], base: str = "") -> str:
+    def _files(self, token: str) -> dict[str, int]:
+        """Length of each file of a checkpoint's data."""
+        folder = self._file(f"{self.path}/{token}/data")
+        if not self._fs.exists(folder):
+            return {}
+        found = {s.getPath().getName(): s.getLen() for s in self._fs.listStatus(folder)}
+        return {n: size for n, size in found.items() if not n.startswith(("_", "."))}
+
+    def _save(self, kind: str, data: DataFrame | None, begin: int, final: int, sessions: dict[str, int], base: str = "", parts: list[str] | None = None) -> str:
+        """Rows, their checksum, the files' lengths; without ``data`` the manifest alone."""
         token = uuid.uuid4().hex
         folder = f"{self.path}/{token}"
-        data.write.parquet(f"{folder}.tmp/data")
+        if data is None:
+            self._fs.mkdirs(self._file(f"{folder}.tmp"))
+        else:
+            data.write.parquet(f"{folder}.tmp/data")
         self._fs.rename(self._file(f"{folder}.tmp"), self._file(folder))
-        rows, check = checksum(self.data(token))
+        rows, check = (0, 0) if data is None else checksum(self.data(token))
         version = self._claim()
-        manifest = {"format_version": 1, "rows": rows, "checksum": check, "token": token, "version": version, "kind": kind, "base_token": base, "begin_seq": begin, "final_seq": final, "sessions": {str(k): v for k, v in sessions.items()}}
+        manifest = {"format_version": FORMAT, "rows": rows, "checksum": check, "files": self._files(token), "token": token, "version": version, "kind": kind, "base_token": base, "begin_seq": begin, "final_seq": final, "sessions": {str(k): v for k, v in sessions.items()}} | ({"parts": parts} if parts is not None else {})
         out = self._fs.create(self._file(f"{folder}/manifest.json"), False)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
@@ -129,18 +143,62 @@ class CheckpointStore:
         rows = self.data(m["token"])
         return rows.where("tier = 'hot'").drop("tier"), rows.where("tier = 'cold'").drop("tier"), m
 
-    def index_only(self, log: DataFrame, final: int) -> str:
-        return self._save("index", raw_latest(log.where(F.col("seq") < final)).select("key", "seq"), 0, final, {})
+    def index_only(self, log: DataFrame, final: int, sessions: dict[str, int] | None = None, parts: list[str] | None = None) -> str:
+        return self._save("index", raw_latest(log.where(F.col("seq") < final)).select("key", "seq"), 0, final, sessions or {}, parts=parts)
 
-    def incremental(self, log: DataFrame, final: int, sessions: dict[str, int] | None = None) -> str:
-        """Records since the newest full or incremental checkpoint; a full one if there is none."""
-        bases = [m for m in self.manifests() if m["kind"] in ("full", "incremental")]
+    def incremental(self, log: DataFrame, final: int, sessions: dict[str, int] | None = None, base: str | None = None) -> str:
+        """Records since the checkpoint ``base``, by default the newest full or incremental one; a full one if there is none."""
+        bases = [m for m in self.manifests() if m["kind"] in ("full", "incremental") and base in (None, m["token"])]
         if not bases:
             return self.full(log, final, sessions)
         base = max(bases, key=lambda m: m["version"])
         rows = delta(log, base["final_seq"], final).select("key", "seq", "value", "tombstone", "invalid")
         return self._save("incremental", rows, base["final_seq"], final, sessions or {}, base["token"])
 
+    def fold_over(self, final: int, begin: int = 0, sessions: dict[str, int] | None = None, parts: list[str] | None = None) -> str:
+        """A checkpoint that copies no rows: it names the log's range [begin, final), and ``parts`` that hold it, which must stay while it counts."""
+        return self._save("foldover", None, begin, final, sessions or {}, parts=parts)
+
+    def recover_fold_over(self, log: DataFrame, token: str | None = None) -> tuple[DataFrame, dict]:
+        """(live keys, manifest) of a fold-over checkpoint, the newest by default, from the log it points into."""
+        m = self._one(token or self._newest(("foldover",)), "foldover")
+        return apply_chain(delta(log, m["begin_seq"], m["final_seq"])), m
+
+    def save(self, kind: str, log: DataFrame, final: int, begin: int = 0, sessions: dict[str, int] | None = None, base: str | None = None, parts: list[str] | None = None) -> str:
+        """A checkpoint of ``log`` by the name of its kind: full, incremental (on ``base``), log, index or foldover (into ``parts``)."""
+        make = {
+            "full": lambda: self.full(log, final, sessions),
+            "incremental": lambda: self.incremental(log, final, sessions, base),
+            "log": lambda: self.log_only(log, begin, final, sessions),
+            "index": lambda: self.index_only(log, final, sessions, parts),
+            "foldover": lambda: self.fold_over(final, begin, sessions, parts),
+        }
+        if kind not in make:
+            raise ValueError(f"unknown kind {kind}")
+        return make[kind]()
+
+    def info(self, token: str) -> dict:
+        """A checkpoint's manifest."""
+        for m in self.manifests():
+            if m["token"] == token:
+                return m
+        raise ValueError(f"checkpoint {token} is missing")
+
+    def problems(self, token: str) -> list[str]:
+        """What is wrong with a checkpoint, from its manifest and the lengths of its files alone."""
+        m = self.info(token)
+        have, listed = self._files(token), m.get("files", {})
+        wrong = [f"{n} is missing" for n in sorted(set(listed) - set(have))]
+        wrong += [f"{n} is not in the manifest" for n in sorted(set(have) - set(listed))]
+        wrong += [f"{n} has {have[n]} bytes, not {listed[n]}" for n in sorted(set(have) & set(listed)) if have[n] != listed[n]]
+        if m["format_version"] != FORMAT:
+            wrong.append(f"format {m['format_version']} is not {FORMAT}")
+        if m["begin_seq"] > m["final_seq"]:
+            wrong.append("it ends before it begins")
+        if len(m["sessions"]) > MAX_SESSIONS:
+            wrong.append(f"more than {MAX_SESSIONS} sessions")
+        return wrong
+
     def _json(self, path) -> dict | None:
         stream = self._fs.open(path)
         try:
@@ -223,7 +281,7 @@ class CheckpointStore:
         return checksum(self.data(token)) == (m["rows"], m["checksum"])
 
     def self_check(self, repair: bool = False, data: bool = False) -> dict[str, list[str]]:
-        """Folders without a manifest, and checkpoints whose chain is broken or, if ``data``, whose rows fail their checksum; ``repair`` deletes them."""
+        """Folders without a manifest, and checkpoints whose chain or files are broken or, if ``data``, whose rows fail their checksum; ``repair`` deletes them."""
         partial, broken = [], []
         for s in self._fs.listStatus(self._file(self.path)):
             if s.isDirectory() and s.getPath().getName() != "_versions" and not self._fs.exists(self._file(s.getPath(), "manifest.json")):
@@ -232,7 +290,9 @@ class CheckpointStore:
             try:
                 if m["kind"] in ("full", "incremental"):
                     self.chain(m["token"])
-                if data and not self.verify(m["token"]):
+                if wrong := self.problems(m["token"]):
+                    raise ValueError("; ".join(wrong))
+                if data and m["kind"] != "foldover" and not self.verify(m["token"]):
                     raise ValueError("the rows have changed")
             except ValueError:
                 broken.append(m["token"])

@@ -8,8 +8,9 @@ windows share one exchange on the key.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +75,43 @@ def fold_ordered(stream: DataFrame, merge: Callable[[Column, Column], Column], i
     return stream.groupBy("key").agg(F.aggregate(rows, initial, merge).alias("value"))
 
 
+def fold_closure(stream: DataFrame, modify: Callable[[int, int], int | None]) -> DataFrame:
+    """(seq, key, op, status, value) where a read-modify-write sets ``modify(value, val)``, and aborts where that is None.
+
+    For closures that no running aggregate gives.  Rows are sorted by key and seq within partitions
+    and applied one by one with one key's state in hand, so a key of any length needs
+    sorted (spilling) rows and no more memory; its rows are still one task's, as their order demands.
+    Null ops and keys are rows like others; a null ``val`` of a read-modify-write aborts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, value, present, touched = object(), None, False, False
+        for b in batches:
+            states, values = [], []
+            for key, op, val in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if key != at:
+                    at, value, present, touched = key, None, False, False
+                status = OK
+                if op == "upsert" or op == "conditional_insert" and not present:
+                    value, present, touched = val, True, True
+                elif op == "conditional_insert":
+                    status = ABORTED
+                elif op == "rmw":
+                    new = modify(value, val) if present and value is not None and val is not None else None
+                    status = NOT_FOUND if not present else ABORTED if new is None else OK
+                    value, touched = value if new is None else new, True
+                elif op == "delete":
+                    status = OK if touched else NOT_FOUND
+                    value, present = None, False
+                states.append(status)
+                values.append(value)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(states, pa.string()), pa.array(values, pa.int64())], names=["seq", "key", "op", "status", "value"])
+
+    rows = stream.select("seq", "key", "op", F.col("val").cast("long").alias("val"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.repartition("key").sortWithinPartitions("key", "seq").mapInArrow(run, f"seq {kinds['seq']}, key {kinds['key']}, op string, status string, value long")
+
+
 def serials(stream: DataFrame, stride: int = 65536) -> DataFrame:
     """:func:`op_status` with ``serial``: successful mutations of the session so far; reads do not count.
 

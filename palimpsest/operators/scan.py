@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 
@@ -16,6 +19,37 @@ def scan_until(log: DataFrame, count: int) -> DataFrame:
     return log.where(~F.col("invalid")).orderBy("seq").limit(count)
 
 
+def scan_each(log: DataFrame, visit: Callable[[Row], bool | None]) -> int:
+    """Call ``visit`` on the executors for each valid record, and return how many it was called for; False ends that partition's scan.
+
+    Partitions are visited side by side, in no order.  A task that is tried again visits its
+    records again, so ``visit`` must allow that; each record counts once.
+    """
+    fields = log.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, go = 0, True
+        for b in batches:
+            for r in b.to_pylist() if go else ():
+                n += 1
+                if visit(Row(**{f: r[f] for f in fields})) is False:
+                    go = False
+                    break
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    return log.where(~F.col("invalid")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def shift_begin(log: DataFrame, until: int, before: Sequence[Callable[[int], None]] = (), after: Sequence[Callable[[int], None]] = ()) -> DataFrame:
+    """:func:`truncate_until` between callbacks that get the new begin; one that raises before it leaves the log as it was."""
+    for call in before:
+        call(until)
+    out = truncate_until(log, until)
+    for call in after:
+        call(until)
+    return out
+
+
 def with_pages(log: DataFrame, records: int) -> DataFrame:
     """Each record's (page, offset) where a page holds ``records`` positions."""
     return log.withColumn("page", F.floor(F.col("seq") / records).cast("long")).withColumn("offset", F.pmod("seq", F.lit(records)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
+from .compaction import RECORD_BYTES
 from .snapshot import latest, raw_latest
 
 
@@ -60,3 +62,35 @@ def should_compact(size: int, budget: int, trigger: float = 0.9) -> bool:
 def compact_until(begin: int, tail: int, share: float = 0.2, most: int = 256 << 20) -> int:
     """Where a compaction of a tier ends: a share of it, at most ``most``."""
     return begin + min(int((tail - begin) * share), most)
+
+
+def gated_read(hot: DataFrame, cold: DataFrame, keys: DataFrame, bits: int, functions: int) -> DataFrame:
+    """(key, value, tier) of the live ones of ``keys``: the hot tier answers first, and the cold one is read only for other keys that its Bloom filter lets pass."""
+    wanted = keys.select("key").distinct()
+    here = raw_latest(hot.join(wanted, "key", "left_semi"))
+    rest = wanted.join(here.select("key"), "key", "left_anti")
+    passed = bloom.might_contain(rest, bloom.build(cold.select("key"), bits, functions), bits, functions).where("maybe")
+    there = latest(cold.join(passed.select("key"), "key", "left_semi"))
+    return here.where(~F.col("tombstone")).select("key", "value", F.lit("hot").alias("tier")).unionByName(there.select("key", "value", F.lit("cold").alias("tier")))
+
+
+def keep_hot(log: DataFrame, stream: DataFrame, until: int, tail: int, at_least: int, decay: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(hot log, cold rows) after a migration by frequency: often used keys below ``until`` are appended again from ``tail`` on.
+
+    Live records keep their distance from ``until`` in the new positions; tombstones
+    below it go to the cold tier, where they mask older rows.
+    """
+    moved = migrate_by_frequency(log, stream, until, at_least, decay)
+    columns = ["seq", "key", "value", "tombstone"]
+    again = moved.where((F.col("seq") < until) & ~F.col("goes_cold")).withColumn("seq", F.col("seq") + F.lit(tail)).select(*columns)
+    above = log.where((F.col("seq") >= until) & ~F.col("invalid")).select(*columns)
+    false = F.lit(False)
+    return above.unionByName(again).withColumn("invalid", false), moved.where("goes_cold").select(*columns).withColumn("invalid", false)
+
+
+def tier_stats(hot: DataFrame, cold: DataFrame) -> DataFrame:
+    """(tier, records, size_bytes, begin, tail, live_keys) of each tier that has valid records; a key is live in a tier by that tier alone."""
+    both = hot.withColumn("tier", F.lit("hot")).unionByName(cold.withColumn("tier", F.lit("cold"))).where(~F.col("invalid"))
+    sizes = both.groupBy("tier").agg(F.count("*").alias("records"), (F.count("*") * RECORD_BYTES).alias("size_bytes"), F.min("seq").alias("begin"), (F.max("seq") + 1).alias("tail"))
+    live = latest(both, ["tier", "key"]).groupBy("tier").agg(F.count("*").alias("live_keys"))
+    return sizes.join(live, "tier", "left").withColumn("live_keys", F.coalesce("live_keys", F.lit(0)))

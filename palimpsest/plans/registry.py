@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import bytelog, checkpoint, compaction, fold, scan, snapshot, stats, tiering
 from ..sources.eventlog import op_stream, ops, read_table
+from ..store import Store
 from ..streaming import store
 
 QUERIES = {}
@@ -511,3 +512,90 @@ def ckpt_tiers_recover(spark, d):
     kept.tiers(log.where(F.col("seq") >= half), log.where(F.col("seq") < half), end)
     hot, cold, _ = kept.recover_tiers()
     return tiering.tier_read(hot, cold)
+
+
+def store_of(spark, d, batches: int = 3):
+    """A store that took the operations in batches, each under a session's name, and their results."""
+    kept = Store(spark, work_folder(spark, "store"))
+    stream, end, out = ops(spark, d).select("seq", "key", "op", "val"), cut(spark, d, 1.0), None
+    for i in range(batches):
+        a, b = end * i // batches, end * (i + 1) // batches
+        with kept.session().guid(f"s{i}").build() as session:
+            done = session.apply(stream.where((F.col("seq") >= a) & (F.col("seq") < b)))
+        out = done if out is None else out.unionByName(done)
+    return kept, out
+
+
+@register(f"{FOLD} SELECT seq, key, op, status, value FROM v")
+def store_batches(spark, d):
+    return store_of(spark, d)[1]
+
+
+@register(f"{FOLD}, b AS (SELECT v.*, (SELECT max(event_id) + 1 FROM events) AS n FROM v) SELECT 's' || CASE WHEN seq < n // 3 THEN 0 WHEN seq < n * 2 // 3 THEN 1 ELSE 2 END AS session, count(*) AS operations, count(*) FILTER (status = 'Ok') AS completed, count(*) FILTER (status <> 'Ok') AS failed, min(seq) AS first_seq, max(seq) AS last_seq, count(*) FILTER (op = 'read') AS reads, count(*) FILTER (op = 'read' AND value IS NOT NULL) AS read_hits FROM b GROUP BY 1")
+def store_session_stats(spark, d):
+    return store_of(spark, d)[0].stats("sessions")
+
+
+@register(f"{NEWEST} SELECT key, seq, value FROM n WHERE NOT tombstone")
+def store_compacted_snapshot(spark, d):
+    kept, _ = store_of(spark, d)
+    kept.compact(cut(spark, d, 0.5))
+    return kept.snapshot().select("key", "seq", "value")
+
+
+@register(f"{LOG}, b AS (SELECT l.* FROM l WHERE seq < (SELECT (max(event_id) + 1) * 2 // 3 FROM events)) SELECT key, max(seq) AS seq, arg_max(coalesce(value, -1), seq) AS value FROM b GROUP BY key HAVING NOT arg_max(tombstone, seq)")
+def store_fold_over_recover(spark, d):
+    """Back to a fold-over checkpoint after a later batch and a compaction."""
+    kept, stream, end = Store(spark, work_folder(spark, "store")), ops(spark, d).select("seq", "key", "op", "val"), cut(spark, d, 1.0)
+    kept.apply(stream.where(F.col("seq") < end * 2 // 3))
+    token = kept.checkpoint("foldover")
+    kept.apply(stream.where(F.col("seq") >= end * 2 // 3))
+    kept.compact()
+    kept.recover(token)
+    return kept.snapshot().select("key", "seq", "value")
+
+
+@register("WITH RECURSIVE o AS (SELECT user_id AS key, event_id AS seq, event_type AS op, CAST(round(value * 100) AS BIGINT) AS val, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE event_type IN ('purchase', 'click', 'error')), "
+    "r AS (SELECT 0::BIGINT AS i, key, NULL::BIGINT AS seq, NULL::VARCHAR AS op, NULL::VARCHAR AS status, NULL::BIGINT AS value, false AS touched FROM (SELECT DISTINCT key FROM o) UNION ALL SELECT o.i, o.key, o.seq, o.op, "
+    "CASE o.op WHEN 'purchase' THEN 'Ok' WHEN 'error' THEN CASE WHEN r.touched THEN 'Ok' ELSE 'NotFound' END ELSE CASE WHEN r.value IS NULL THEN 'NotFound' WHEN r.value + o.val <= 20000 THEN 'Ok' ELSE 'Aborted' END END, "
+    "CASE o.op WHEN 'purchase' THEN o.val WHEN 'error' THEN NULL ELSE CASE WHEN r.value + o.val <= 20000 THEN r.value + o.val ELSE r.value END END, r.touched OR o.op <> 'error' FROM r JOIN o ON o.key = r.key AND o.i = r.i + 1) "
+    "SELECT seq, key, CASE op WHEN 'purchase' THEN 'upsert' WHEN 'click' THEN 'rmw' ELSE 'delete' END AS op, status, value FROM r WHERE i > 0"
+)
+def kv_rmw_abort(spark, d):
+    """Read-modify-writes that abort where their sum would pass a limit."""
+    stream = ops(spark, d).where(F.col("op").isin("upsert", "rmw", "delete"))
+    return fold.fold_closure(stream, lambda value, val: value + val if value + val <= 20000 else None)
+
+
+@register(f"{TIERS}, w AS (SELECT c_custkey AS key FROM customer) SELECT w.key, CASE WHEN h.key IS NOT NULL THEN h.value ELSE c.value END AS value, CASE WHEN h.key IS NOT NULL THEN 'hot' ELSE 'cold' END AS tier FROM w LEFT JOIN h ON h.key = w.key LEFT JOIN c ON c.key = w.key WHERE CASE WHEN h.key IS NOT NULL THEN NOT h.tombstone ELSE NOT c.tombstone END")
+def tier_gated_read(spark, d):
+    """Customers' keys, where the cold tier is read only for what its Bloom filter lets pass."""
+    return tiering.gated_read(*tiers(spark, d), read_table(spark, d, "customer").select(F.col("c_custkey").alias("key")), 1 << 16, 7)
+
+
+@register(f"{LOG}, t AS (SELECT l.*, CASE WHEN seq >= {HALF} THEN 'hot' ELSE 'cold' END AS tier FROM l), k AS (SELECT tier, key, NOT arg_max(tombstone, seq) AS live FROM t GROUP BY 1, 2) SELECT tier, count(*) AS records, count(*) * 24 AS size_bytes, min(seq) AS begin, max(seq) + 1 AS tail, (SELECT count(*) FILTER (live) FROM k WHERE k.tier = t.tier) AS live_keys FROM t GROUP BY tier")
+def tier_sizes(spark, d):
+    return tiering.tier_stats(*tiers(spark, d))
+
+
+@register(f"{NEWEST}, a AS (SELECT key, count(*) AS accesses FROM e WHERE op IN ('read', 'rmw') GROUP BY key), g AS (SELECT n.*, NOT tombstone AND coalesce(accesses, 0) >= 27 AS stays FROM n LEFT JOIN a USING (key) WHERE seq < {THREE}) SELECT seq, key, value, tombstone FROM l WHERE seq >= {THREE} UNION ALL SELECT seq + (SELECT max(event_id) + 1 FROM events), key, value, tombstone FROM g WHERE stays")
+def tier_keep_hot(spark, d):
+    return tiering.keep_hot(log_of(spark, d), ops(spark, d), cut(spark, d, 0.75), cut(spark, d, 1.0), 27)[0].select("seq", "key", "value", "tombstone")
+
+
+@register("WITH k AS (SELECT DISTINCT o_orderkey AS key FROM orders), b AS (SELECT key % 128 AS b, count(*) AS n, count(*) FILTER (key % 64 <> key % 128) AS moved FROM k GROUP BY 1) SELECT 64::BIGINT AS old_size, 128::BIGINT AS new_size, sum(n)::BIGINT AS entries_migrated, sum(moved)::BIGINT AS entries_moved, count(*) FILTER (n > 7) AS overflow_buckets, 2.0::DOUBLE AS growth_ratio FROM b")
+def index_grow(spark, d):
+    return stats.grow_result(read_table(spark, d, "orders").select(F.col("o_orderkey").alias("key")), 64, 128)
+
+
+@register(f"{MARKED}, s AS (SELECT m.*, e.op FROM m JOIN e USING (seq)) SELECT count(*) AS records_allocated, count(*) * 24 AS bytes_allocated, count(*) FILTER (seq >= {HALF}) * 24 AS bytes_in_memory, count(*) FILTER (seq < {HALF} AND seq >= {QUARTER}) * 24 AS bytes_on_disk, count(*) FILTER (seq < {QUARTER}) * 24 AS bytes_reclaimable, count(*) FILTER (op = 'delete') AS tombstones, count(*) FILTER (invalid) AS invalid_records FROM s")
+def log_stats(spark, d):
+    return stats.log_stats(marked(spark, d), cut(spark, d, 0.25), cut(spark, d, 0.5))
+
+
+@register("SELECT doc_id AS key, strlen(text)::BIGINT + 8 AS payload_bytes, strlen(text)::BIGINT + 12 AS stored_bytes, doc_id AS metadata, md5(text) AS digest FROM documents WHERE text IS NOT NULL")
+def span_round_trip(spark, d):
+    """Texts with their ids as metadata, written as spans and read back."""
+    docs = read_table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("key"), scalars.span_bytes(scalars.span(F.col("text"), F.col("doc_id"))).alias("stored"))
+    back = docs.withColumn("value", scalars.span_of_bytes(F.col("stored")))
+    return back.select("key", scalars.span_length(F.col("value")).cast("long").alias("payload_bytes"), F.octet_length("stored").cast("long").alias("stored_bytes"), F.col("value.metadata").alias("metadata"), F.md5("value.payload").alias("digest"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
+from .checkpoint import CheckpointStore
 from .compaction import RECORD_BYTES
 from .snapshot import latest, raw_latest
 
@@ -94,3 +95,42 @@ def tier_stats(hot: DataFrame, cold: DataFrame) -> DataFrame:
     sizes = both.groupBy("tier").agg(F.count("*").alias("records"), (F.count("*") * RECORD_BYTES).alias("size_bytes"), F.min("seq").alias("begin"), (F.max("seq") + 1).alias("tail"))
     live = latest(both, ["tier", "key"]).groupBy("tier").agg(F.count("*").alias("live_keys"))
     return sizes.join(live, "tier", "left").withColumn("live_keys", F.coalesce("live_keys", F.lit(0)))
+
+
+class TierWorker:
+    """Keeps two tiers within their budgets of bytes; a scheduler calls :meth:`tick`."""
+
+    def __init__(self, hot_budget: int, cold_budget: int, trigger: float = 0.9, share: float = 0.2, checkpoints: CheckpointStore | None = None):
+        self.hot_budget, self.cold_budget, self.trigger, self.share, self.checkpoints = hot_budget, cold_budget, trigger, share, checkpoints
+        self.requested = False
+
+    def request_checkpoint(self) -> None:
+        """Have the next tick make one checkpoint of both tiers."""
+        if self.checkpoints is None:
+            raise ValueError("the worker has no checkpoint store")
+        self.requested = True
+
+    def tick(self, hot: DataFrame, cold: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+        """(hot, cold, what was done): a requested checkpoint first, then the hot tier, then the cold one.
+
+        A hot tier at its trigger moves the newest records of its first ``share`` to the cold one;
+        a cold tier at its trigger keeps live rows only, as nothing lies below it that a tombstone could mask.
+        Reads of both tiers give the same before and after, as a key's hot records have higher seqs than its cold ones.
+        """
+        columns, done = ["seq", "key", "value", "tombstone", "invalid"], []
+        at = hot.agg(F.count("*").alias("n"), F.min("seq").alias("begin"), F.max("seq").alias("last")).first()
+        n_cold = cold.count()
+        if self.requested:
+            last = cold.agg(F.max("seq")).first()[0]
+            done.append("checkpoint " + self.checkpoints.tiers(hot, cold, 1 + max(x if x is not None else -1 for x in (at.last, last))))
+            self.requested = False
+        if at.n and should_compact(at.n * RECORD_BYTES, self.hot_budget, self.trigger):
+            until = compact_until(at.begin, at.last + 1, self.share, most=at.last + 1 - at.begin)
+            below = raw_latest(hot.where(F.col("seq") < until)).withColumn("invalid", F.lit(False))
+            hot, cold = hot.where(F.col("seq") >= until), cold.select(*columns).unionByName(below.select(*columns))
+            done.append(f"hot until {until}")
+        if n_cold and should_compact(n_cold * RECORD_BYTES, self.cold_budget, self.trigger):
+            live = latest(cold).withColumn("tombstone", F.lit(False)).withColumn("invalid", F.lit(False))
+            cold = live.select(*columns)
+            done.append("cold")
+        return hot, cold, done

@@ -273,9 +273,9 @@ def tier_delete_masks_cold(spark, d):
     return tiering.tier_newest(hot, cold).where("tombstone and tier = 'hot'").join(snapshot.latest(cold), "key", "left_semi").select("key")
 
 
-@register(f"{TIERS} SELECT key, seq, value FROM c WHERE NOT tombstone")
+@register(f"{TIERS} SELECT key, seq, value, seq < {QUARTER} AS kept_below FROM c WHERE NOT tombstone")
 def tier_compact_cold(spark, d):
-    return tiering.compact_cold(tiers(spark, d)[1], 0).select("key", "seq", "value")
+    return tiering.compact_cold(tiers(spark, d)[1], cut(spark, d, 0.25)).select("key", "seq", "value", "kept_below")
 
 
 @register(f"WITH {E} SELECT key, count(*) AS accesses FROM e WHERE op IN ('read', 'rmw') GROUP BY key")
@@ -599,3 +599,11 @@ def span_round_trip(spark, d):
     docs = read_table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("key"), scalars.span_bytes(scalars.span(F.col("text"), F.col("doc_id"))).alias("stored"))
     back = docs.withColumn("value", scalars.span_of_bytes(F.col("stored")))
     return back.select("key", scalars.span_length(F.col("value")).cast("long").alias("payload_bytes"), F.octet_length("stored").cast("long").alias("stored_bytes"), F.col("value.metadata").alias("metadata"), F.md5("value.payload").alias("digest"))
+
+
+@register(f"{FOLD} SELECT seq, key, op, status, value FROM v")
+def streaming_store(spark, d):
+    """The operations as a stream through the stateful store, each with its status and value."""
+    folder, stream = work_folder(spark, "stream"), op_stream(store.read_stream(spark, f"{d}/events.parquet"))
+    store.append_log(store.run_store(stream.select("seq", "key", "op", "val")), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("seq", "key", "op", "status", "value")

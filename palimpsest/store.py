@@ -99,8 +99,11 @@ class ReadCache:
     """Records read from the log, kept by Spark in regions of one lookup each; the oldest region goes first.
 
     A region is a persisted table, so it is spread over the executors and a lost one is read again.
+    Plans stay short: there are at most ``REGIONS``, and one that was cut by ``CUTS`` writes goes.
     """
 
+    REGIONS, CUTS = 16, 8
+
     def __init__(self, store: Store, max_bytes: int):
         self.store, self.max_bytes, self.regions = store, max_bytes, []
         self.counts = dict.fromkeys(("calls", "hits", "misses", "inserts", "evictions", "invalidations"), 0)
@@ -117,9 +120,9 @@ class ReadCache:
         out = region if hit is None else hit.unionByName(region)
         wanted.unpersist()
         if inserts:
-            self.regions.append((region, inserts))
-        while self.regions and sum(n for _, n in self.regions) * compaction.RECORD_BYTES > self.max_bytes:
-            old, n = self.regions.pop(0)
+            self.regions.append((region, inserts, 0))
+        while len(self.regions) > self.REGIONS or self._records() * compaction.RECORD_BYTES > self.max_bytes:
+            old, n, _ = self.regions.pop(0)
             self._add(evictions=n)
             old.unpersist()
         return out
@@ -127,27 +130,37 @@ class ReadCache:
     def invalidate(self, keys: DataFrame) -> None:
         """Forget ``keys``, as a write must."""
         kept, gone = [], keys.select("key").distinct()
-        for region, n in self.regions:
+        for region, n, cuts in self.regions:
+            hit = region.join(gone, "key", "left_semi").count()
+            if not hit:
+                kept.append((region, n, cuts))
+                continue
             left = region.join(gone, "key", "left_anti").persist()
-            m = left.count()
+            self._add(invalidations=hit)
+            if left.count() and cuts < self.CUTS:
+                kept.append((left, n - hit, cuts + 1))
+            else:
+                self._add(evictions=n - hit)
+                left.unpersist()
             region.unpersist()
-            self._add(invalidations=n - m)
-            kept += [(left, m)] if m else []
         self.regions = kept
 
     def clear(self) -> None:
-        for region, _ in self.regions:
+        for region, _, _ in self.regions:
             region.unpersist()
         self.regions = []
 
     def stats(self) -> dict:
         """Counts, the hit rate, and the records held."""
         calls = self.counts["calls"]
-        return self.counts | {"hit_rate": self.counts["hits"] / calls if calls else 0.0, "records": sum(n for _, n in self.regions)}
+        return self.counts | {"hit_rate": self.counts["hits"] / calls if calls else 0.0, "records": self._records()}
+
+    def _records(self) -> int:
+        return sum(n for _, n, _ in self.regions)
 
     def _all(self) -> DataFrame | None:
         out = None
-        for region, _ in self.regions:
+        for region, _, _ in self.regions:
             out = region if out is None else out.unionByName(region)
         return out
 
@@ -230,7 +243,8 @@ class Store:
     def apply(self, batch: DataFrame) -> DataFrame:
         """Apply ``batch`` (seq, key, op, val), in the order of seq, outside any session: (seq, key, op, status, value) of its rows.
 
-        A row's seq is distinct within the batch; in the log it counts from the tail on.  Rows without
+        A row's seq is distinct within the batch; in the log it counts from the tail on.  The result is read
+        from the batch's part, so it stands until a compaction or recovery.  Rows without
         a key, seq or op, and unknown ops, are refused with an error before anything is written.
         """
         return self._apply(batch, None)[0]

@@ -68,10 +68,16 @@ def append_log(stream: DataFrame, path: str, checkpoint: str, trigger: dict | No
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
 
 
-def ingest(spark: SparkSession, source: str, stream_of, path: str, checkpoint: str, files: int = 1) -> DataFrame:
-    """Read the Parquet folder or file ``source`` as a stream, append ``stream_of`` of it to ``path``, and return the log."""
-    schema = spark.read.parquet(source).schema
+def read_stream(spark: SparkSession, source: str, files: int = 1) -> DataFrame:
+    """The Parquet folder or file ``source`` as a stream of ``files`` files a batch."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
     folder, _, name = source.rpartition("/")
-    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", name if name.endswith(".parquet") else "*.parquet")
-    append_log(stream_of(read.parquet(folder if name.endswith(".parquet") else source)), path, checkpoint).awaitTermination()
+    one = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path).isFile()
+    read = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", files)
+    return read.option("pathGlobFilter", name if one else "*.parquet").parquet(folder if one else source)
+
+
+def ingest(spark: SparkSession, source: str, stream_of, path: str, checkpoint: str, files: int = 1) -> DataFrame:
+    """Read ``source`` as a stream, append ``stream_of`` of it to ``path``, and return the log."""
+    append_log(stream_of(read_stream(spark, source, files)), path, checkpoint).awaitTermination()
     return spark.read.parquet(path)

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest import config
-from palimpsest.operators import bloom, bytelog, compaction, fold, scan, stats, tiering
 from palimpsest.functions import scalars
+from palimpsest.operators import bloom, bytelog, checkpoint, compaction, fold, scan, stats, tiering
 from palimpsest.store import SessionState, Store
 
 from .test_store import model, random_ops
@@ -260,3 +260,23 @@ def test_store_config_is_checked(spark, tmp_path):
     assert store.info()["over_memory"] is False and store.tick(0.0) is None
     with pytest.raises(ValueError):
         store.grow(32)
+
+
+def test_tier_worker(spark, tmp_path, rows):
+    log = fold.to_log(fold.fold(spark.createDataFrame(rows, "seq long, key long, op string, val long, session long"))).cache()
+    hot, cold = log.where("seq >= 300"), log.where("seq < 300")
+    read = lambda h, c: sorted(map(repr, tiering.tier_read(h, c).select("key", "value").collect()))
+    want = read(hot, cold)
+    store = checkpoint.CheckpointStore(spark, f"{tmp_path}/c")
+    worker = tiering.TierWorker(1000, 1000, checkpoints=store)
+    worker.request_checkpoint()
+    hot2, cold2, done = worker.tick(hot, cold)
+    begin, last = log.where("seq >= 300").agg(F.min("seq"), F.max("seq")).first()
+    assert [d.split()[0] for d in done] == ["checkpoint", "hot", "cold"] and done[1] == f"hot until {begin + int((last + 1 - begin) * 0.2)}"
+    assert read(hot2, cold2) == want and hot2.count() < hot.count() and cold2.count() <= 25
+    kept_hot, kept_cold, _ = store.recover_tiers()
+    assert read(kept_hot, kept_cold) == want
+    assert tiering.TierWorker(1 << 30, 1 << 30).tick(hot, cold)[2] == []
+    assert tiering.TierWorker(1, 1).tick(hot.where("false"), cold.where("false"))[2] == []
+    with pytest.raises(ValueError):
+        tiering.TierWorker(1, 1).request_checkpoint()

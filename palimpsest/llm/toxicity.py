@@ -8,8 +8,9 @@ import re
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import chain
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -125,8 +126,8 @@ class Scorer:
     """
 
     def __init__(self, model: KneserNey):
-        self.model = model
         self.seen, self.after = self._table(model.seen), self._table(model.after)
+        self.model = replace(model, seen={}, after={})  # the tables stand for both
 
     @staticmethod
     def _mixed(h: np.ndarray) -> np.ndarray:
@@ -224,7 +225,7 @@ class Smoothed:
         while level:  # continuation counts of ever shorter expressions
             conts: dict[str, int] = defaultdict(int)
             for g in level:
-                conts[g[1:]] += 1
+                conts[intern(g[1:])] += 1
             conts.pop("", None)
             for g, c in conts.items():
                 self.merged[g] = max(self.merged.get(g, 0), c)
@@ -235,7 +236,7 @@ class Smoothed:
         self.n, self.freed = ({}, {}), ({}, {})
         for c in (0, 1):
             for g, k in counts[c].items():
-                ctx = g[:-1]
+                ctx = intern(g[:-1])
                 self.n[c][ctx] = self.n[c].get(ctx, 0) + k
                 self.freed[c][ctx] = self.freed[c].get(ctx, 0.0) + min(k, own)
         self.memo: dict[str, float] = {}
@@ -244,8 +245,9 @@ class Smoothed:
     def _sums(counts: dict[str, int]) -> tuple[dict[str, int], dict[str, int]]:
         total, kinds = {}, {}
         for g, c in counts.items():
-            total[g[:-1]] = total.get(g[:-1], 0) + c
-            kinds[g[:-1]] = kinds.get(g[:-1], 0) + 1
+            ctx = intern(g[:-1])
+            total[ctx] = total.get(ctx, 0) + c
+            kinds[ctx] = kinds.get(ctx, 0) + 1
         return total, kinds
 
     def backoff(self, g: str) -> float:
@@ -253,7 +255,7 @@ class Smoothed:
         p = self.memo.get(g)
         if p is None:
             ctx = g[:-1]
-            low = self.backoff(g[1:]) if len(g) > 1 else self.floor
+            low = self.backoff(intern(g[1:])) if len(g) > 1 else self.floor
             t = self.total.get(ctx, 0)
             p = self.memo[g] = low if not t else (max(self.merged.get(g, 0) - self.discount, 0.0) + self.discount * self.kinds[ctx] * low) / t
         return p
@@ -261,7 +263,8 @@ class Smoothed:
     def shared(self, g: str) -> float:
         """P(last character | the rest) by both classes' counts."""
         t = self.whole.get(g[:-1], 0)
-        return self.backoff(g[1:]) if not t else (max(self.every.get(g, 0) - self.discount, 0.0) + self.discount * self.sorts[g[:-1]] * self.backoff(g[1:])) / t
+        low = self.backoff(intern(g[1:]))
+        return low if not t else (max(self.every.get(g, 0) - self.discount, 0.0) + self.discount * self.sorts[g[:-1]] * low) / t
 
     def weight(self, c: int, ctx: str) -> float:
         """The share that class ``c`` leaves to the shared model after ``ctx``."""
@@ -301,7 +304,8 @@ def fit_counts(toxic: Counter, ordinary: Counter, order: int = ORDER, discount:
         if r:
             after[ctx] = r
     # A seen expression with the ratio of its context's others need not be kept.
-    seen = {g: r for g, r in seen.items() if r != after.get(g[:-1], 0.0)}
+    for g in [g for g, r in seen.items() if r == after.get(g[:-1], 0.0)]:
+        del seen[g]
     pairs, firsts = pairs or {}, firsts or {}
     left = {a: tuple(freed / n if n else 1.0 for n, freed in f) for a, f in firsts.items()}
     ratios = {}
@@ -329,6 +333,21 @@ def calibrate(ratios: np.ndarray, labels: np.ndarray, cut: float = 0.7) -> tuple
     return 8.0 / spread, float(edge - math.log(cut / (1 - cut)) * spread / 8.0)
 
 
+def _counts(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """Counts by class of each batch's spelling expressions (first is null) and pairs of words, of rows (text, toxic)."""
+    worker_cache("toxicity counts")  # a worker that packed before holds a tokenizer, its pieces and freed memory
+    for b in sliced(batches):
+        words, pairs = (Counter(), Counter()), (Counter(), Counter())
+        for t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            w = words_of(t)
+            words[c].update(set(w))
+            pairs[c].update(set(zip(w, w[1:], strict=False)))
+        for c in (0, 1):
+            grams = expressions(words[c], order)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(grams), pa.string()), pa.array(list(grams), pa.string()), pa.array([c] * len(grams), pa.int32()), pa.array(list(grams.values()), pa.int64())], names=["first", "gram", "toxic", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs[c]], pa.string()), pa.array([z for _, z in pairs[c]], pa.string()), pa.array([c] * len(pairs[c]), pa.int32()), pa.array(list(pairs[c].values()), pa.int64())], names=["first", "gram", "toxic", "n"])
+
+
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, order: int = ORDER, cut: float = 0.7) -> Trained:
     """Fit on a bounded sample of labelled rows with crc32(doc_id as text) mod 3 other than 1.
 
@@ -346,19 +365,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, order:
     chosen = F.broadcast(spark.createDataFrame([(int(x.doc_id), int(x.toxic)) for x in toxic + ordinary], "doc_id long, toxic int"))
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").withColumn("held", F.expr("pmod(xxhash64(doc_id, 7), 5) = 0"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
-            words, pairs = (Counter(), Counter()), (Counter(), Counter())
-            for t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                w = words_of(t)
-                words[c].update(set(w))
-                pairs[c].update(set(zip(w, w[1:], strict=False)))
-            for c in (0, 1):
-                grams = expressions(words[c], order)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(grams), pa.string()), pa.array(list(grams), pa.string()), pa.array([c] * len(grams), pa.int32()), pa.array(list(grams.values()), pa.int64())], names=["first", "gram", "toxic", "n"])
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs[c]], pa.string()), pa.array([z for _, z in pairs[c]], pa.string()), pa.array([c] * len(pairs[c]), pa.int32()), pa.array(list(pairs[c].values()), pa.int64())], names=["first", "gram", "toxic", "n"])
-
-    counted = sample.where("not held").select("text", "toxic").mapInArrow(count, "first string, gram string, toxic int, n long")
+    counted = sample.where("not held").select("text", "toxic").mapInArrow(lambda it: _counts(it, order), "first string, gram string, toxic int, n long")
     # Written, as spelling, pairs and their first words are read apart.
     counted = materialize(counted.groupBy("first", "gram").agg(*[F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]), "toxicity")
     spelling = counted.select(F.when(F.col("first").isNull(), 0).otherwise(1).alias("kind"), "first", "gram", "n0", "n1", F.lit(0.0).alias("f0"), F.lit(0.0).alias("f1")).where(f"first is null or greatest(n0, n1) > {PAIR_DISCOUNT}")

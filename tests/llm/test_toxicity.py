@@ -3,9 +3,11 @@
 import math
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from palimpsest.llm import toxicity
+from palimpsest.llm.common import worker_cache
 
 TOXIC = ["bad idiot word", "you idiot go", "bad idiot word"]
 ORDINARY = ["good day word", "a good day to you", "day by day", "good word", "bad day"]
@@ -117,3 +119,20 @@ def test_scorer_is_the_model():
     got = toxicity.Scorer(m).ratios(texts)
     assert got.tolist() == pytest.approx([m.ratio(t) for t in texts], abs=1e-12)
     assert toxicity.Scorer(m).ratios([]).tolist() == [] and toxicity.Scorer(toxicity.KneserNey(4, {}, {})).ratios(["a b"]).tolist() == [0.0]
+
+
+def test_counting_gives_back_what_a_worker_kept():
+    """A worker that packed before holds a tokenizer and its pieces, which counting must not keep beside its own."""
+    worker_cache("words path")["encoder"] = "pieces"
+    batch = pa.RecordBatch.from_arrays([pa.array([*TOXIC, *ORDINARY]), pa.array([1] * 3 + [0] * 5, pa.int32())], names=["text", "toxic"])
+    got = [r for b in toxicity._counts(iter([batch]), ORDER) for r in b.to_pylist()]
+    assert "encoder" not in worker_cache("words path")
+    for c in (0, 1):
+        assert {r["gram"]: r["n"] for r in got if r["toxic"] == c and r["first"] is None} == GRAMS[c]
+        assert {(r["first"], r["gram"]): r["n"] for r in got if r["toxic"] == c and r["first"] is not None} == PAIRS[c]
+
+
+def test_scorer_keeps_no_second_table():
+    """Ratios by expression are kept by hash alone."""
+    scorer = toxicity.Scorer(model())
+    assert len(scorer.seen[0]) == len(model().seen) and not scorer.model.seen and not scorer.model.after

@@ -13,7 +13,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies stays: SimHash by multi-index hashing and MinHash bands find five-word shingle sets of similarity 0.8 or more."""
     return shingles.keep_one(docs)
 
 

@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands find them, whole shingle sets confirm them."""
+"""Near copies by the Jaccard similarity of word shingles: SimHash and MinHash bands find them, whole shingle sets confirm them."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, release, sliced, worker_cache
 from .components import connected_components
-from .simhash import keep_least, narrow
+from .simhash import fingerprint, hashes, keep_least, links, narrow
 
 #: Words of a shingle, and the least similarity of near copies as a fraction.
 WIDTH, LEAST = 5, (4, 5)
@@ -28,15 +28,6 @@ TIMES, PLUS = (_RNG.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64) | np.uint64
 MIX = _RNG.integers(0, 2**64, (BANDS, ROWS + 1), np.uint64) | np.uint64(1)
 
 
-def grams(text: bytes | None, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles; a shorter text is one shingle, one without words none."""
-    words = (text or b"").lower().split()  # bytes: only A-Z, only ASCII white space
-    if not words:
-        return np.empty(0, np.uint64)
-    spans = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else (b" ".join(words),)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in spans), np.uint64))
-
-
 def node(g: np.ndarray) -> int:
     """One signed long for a shingle set: texts of equal sets are copies."""
     return int(np.uint64(xxhash.xxh64_intdigest(g.tobytes(), SEED)).view(np.int64))
@@ -65,25 +56,28 @@ def near(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _each(docs: DataFrame, fields: str, make) -> DataFrame:
-    """doc_id, tie and what ``make`` gives for the shingle sets of a batch."""
+    """doc_id, tie and what ``make`` gives for the shingle hashes of a batch's texts, repeats included."""
     names = ["doc_id", "tie", *(f.split()[0] for f in fields.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("shingles")
         for b in sliced(batches, 500):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *make([grams(t) for t in b.column(2).cast(pa.binary()).to_pylist()])], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *make([hashes(t, WIDTH) for t in b.column(2).cast(pa.binary()).to_pylist()])], names=names)
 
     return narrow(docs).mapInArrow(run, f"doc_id long, tie long, {fields}")
 
 
-def _signed(sets: list[np.ndarray]) -> list[pa.Array]:
+def _signed(texts: list[np.ndarray]) -> list[pa.Array]:
+    prints = np.array([fingerprint(h) for h in texts], np.uint64).view(np.int64)
+    sets = [np.unique(h) for h in texts]
     keys, sketches = zip(*map(bands, sets), strict=True) if sets else ([], [])
     ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
     low = [pa.array([x[i] for x in sketches], pa.int64()) for i in range(PLANES * LONGS)]
-    return [pa.array([node(g) for g in sets], pa.int64()), pa.array([len(g) for g in sets], pa.int32()), *low, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if sets else [], pa.int64()))]
+    return [pa.array([node(g) for g in sets], pa.int64()), pa.array([len(g) for g in sets], pa.int32()), pa.array(prints), *low, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if sets else [], pa.int64()))]
 
 
-def _whole(sets: list[np.ndarray]) -> list[pa.Array]:
+def _whole(texts: list[np.ndarray]) -> list[pa.Array]:
+    sets = [np.unique(h) for h in texts]
     return [pa.array([node(g) for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())]
 
 
@@ -106,21 +100,39 @@ def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
     return sized.select(F.least(f"{a}.node", f"{b}.node").alias("u"), F.greatest(f"{a}.node", f"{b}.node").alias("v")).distinct()
 
 
+def fingerprint_pairs(prints: DataFrame) -> DataFrame:
+    """(u, v): shingle sets that SimHash puts together, where their sizes allow the least similarity.
+
+    prints has (node, n, print): of each set the fingerprints of its texts.  Sets of one fingerprint meet
+    its least set, and the least sets of fingerprints within two bits, which
+    multi-index hashing finds, meet each other; so a pair costs no more than a row of either.
+    """
+    least = materialize(prints.groupBy("print").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("members")), "shingles")
+    same = prints.join(least.where("members > 1").select("print", F.col("least").alias("b")), "print").select(F.struct("node", "n").alias("a"), "b")
+    ends = [least.select(F.col("print").alias(k), F.col("least").alias(s)) for k, s in (("u", "a"), ("v", "b"))]
+    near = links(least.select(F.col("print").alias("fp"))).join(ends[0], "u").join(ends[1], "v").select("a", "b")
+    found = materialize(_ordered(same.union(near), "a", "b"), "shingles")
+    release(least)
+    return found
+
+
 def near_duplicate_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, tie, fp) of every row, and (fp, component_id, root) of every distinct shingle set.
 
     Groups are the components of all found pairs of similarity 0.8 or more; fp
-    stands for a shingle set.  Sets that meet in a band are candidates.
-    First each is compared with one hub, the set of its buckets that meets most others, so a large group
+    stands for a shingle set.  Sets whose SimHash fingerprints are within two bits
+    are candidates, as in op1 but of five words; fingerprints reach few edited copies, so sets that meet in a band are candidates too.
+    First pairs of fingerprints are compared, and each set with one hub, the set of its buckets that meets most others, so a large group
     of near copies costs one comparison a member, and with the hubs of those buckets that
     this did not join; then, where a bucket still holds
     several groups, all its pairs that could join two of them are compared.
     Rows with a null or empty text are copies of each other.
     """
-    rows = materialize(_each(docs, f"fp long, n int, {', '.join(f's{i} long' for i in range(PLANES * LONGS))}, keys array<long>", _signed), "shingles")
+    rows = materialize(_each(docs, f"fp long, n int, print long, {', '.join(f's{i} long' for i in range(PLANES * LONGS))}, keys array<long>", _signed), "shingles")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
     sketch = [f"s{i}" for i in range(PLANES * LONGS)]
     one = materialize(rows.dropDuplicates(["fp"]).select(F.col("fp").alias("node"), "n", *sketch, "keys"), "shingles")
+    printed = fingerprint_pairs(rows.select(F.col("fp").alias("node"), "n", "print").distinct())
     entries = one.select("node", "n", F.explode("keys").alias("key"))
     many = entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     many = materialize(many, "shingles")
@@ -133,15 +145,16 @@ def near_duplicate_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for done in (many, met, met2):
         release(done)
     # Written, so that its size is known: a small table is broadcast and no other texts move or are read as shingles again.
-    wanted = materialize(shared.select("node").distinct().join(distinct, F.col("node") == F.col("fp")).select("fp", "low"), "shingles")
+    paired = shared.select("node").union(printed.select("u")).union(printed.select("v")).distinct()
+    wanted = materialize(paired.join(distinct, F.col("node") == F.col("fp")).select("fp", "low"), "shingles")
     some = docs.join(wanted.select("low").distinct(), docs.doc_id.cast("long").eqNullSafe(F.col("low")), "left_semi")
     whole = _each(some, "fp long, grams binary", _whole).alias("d").join(wanted.alias("w"), F.expr("d.fp = w.fp and d.doc_id <=> w.low"), "left_semi")
     sets = materialize(whole.dropDuplicates(["fp"]).select(F.col("fp").alias("node"), "grams"), "shingles")
 
-    # First each set meets one hub, the heaviest of its buckets; then, where that did not join them, the hubs of the others.
+    # First pairs of fingerprints meet, and each set meets one hub, the heaviest of its buckets; then, where that did not join them, the hubs of the others.
     itself = F.struct("node", "n")
     first = shared.groupBy("node", "n").agg(F.max("hub").alias("b")).select(itself.alias("a"), "b")
-    edges = materialize(_confirmed(_ordered(first, "a", "b"), sets), "shingles")
+    edges = materialize(_confirmed(printed.union(_ordered(first, "a", "b")).distinct(), sets), "shingles")
     comps = materialize(connected_components(edges), "shingles")
     of_hub = comps.select(F.col("node").alias("hub_node"), F.col("root").alias("hub_root"))
     apart = shared.join(comps, "node", "left").withColumn("hub_node", F.col("hub.node")).join(of_hub, "hub_node", "left")
@@ -158,7 +171,7 @@ def near_duplicate_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     alike = " + ".join("bit_count(" + " | ".join(f"(a.s{j} ^ b.s{j})" for j in range(i, PLANES * LONGS, LONGS)) + ")" for i in range(LONGS))
     pairs = open_.where("root != most and node != hub").alias("a").join(open_.where("node != hub").alias("b"), F.expr(f"a.key = b.key and a.root != b.root and {alike} <= {DIFFERENT} and (b.root = b.most or a.node < b.node) and a.key = array_min(array_intersect(a.keys, b.keys))"))
     more = materialize(_confirmed(_ordered(pairs, "a", "b"), sets), "shingles")
-    for done in (shared, wanted, sets, open_, one):
+    for done in (printed, shared, wanted, sets, open_, one):
         release(done)
     if not more.isEmpty():
         comps = materialize(connected_components(comps.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)), "shingles")

@@ -16,14 +16,18 @@ from .components import connected_components
 SEED = 42
 
 
-def simhash(text: bytes | None, width: int = 3) -> int:
-    """64-bit SimHash of word shingles; 0 for a text without words."""
+def hashes(text: bytes | None, width: int = 3) -> np.ndarray:
+    """64-bit hashes of a text's word shingles, repeats included; a shorter text is one shingle, one without words none."""
     words = (text or b"").lower().split()  # bytes: only A-Z, only ASCII white space
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     spans = [words[i:] for i in range(width)] if len(words) >= width else [[b" ".join(words)]]
-    n = len(spans[-1])
-    h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*spans, strict=False))) if len(words) >= width else (xxhash.xxh64_intdigest(spans[0][0], SEED),), np.uint64, n)
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*spans, strict=False))) if len(words) >= width else (xxhash.xxh64_intdigest(spans[0][0], SEED),), np.uint64, len(spans[-1]))
+
+
+def fingerprint(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes; 0 without any."""
+    n = len(h)
     if n > 256:
         table = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
         octets = h.view(np.uint8).reshape(-1, 8)
@@ -33,6 +37,11 @@ def simhash(text: bytes | None, width: int = 3) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def simhash(text: bytes | None, width: int = 3) -> int:
+    """64-bit SimHash of word shingles; 0 for a text without words."""
+    return fingerprint(hashes(text, width))
+
+
 def narrow(docs: DataFrame) -> DataFrame:
     """(doc_id, tie, text); tie is the text's hash, which tells rows of one doc_id apart."""
     text = F.col("text").cast("string")

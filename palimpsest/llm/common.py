@@ -92,7 +92,12 @@ def worker_cache(owner: str) -> dict:
     if state.get("owner") != owner:
         state["owner"], state["entries"] = owner, {}
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
     return state["entries"]
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which else stays with an idle worker beside those that run."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)

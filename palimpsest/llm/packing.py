@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
 from .tokens import Encoder
 
 WINDOW, END_ID, TEXTS = 2048, 1, 1500
@@ -151,6 +152,7 @@ def pack(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WINDOW)
                 part = b.slice(a, TEXTS)
                 for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
                     packer.add(doc, ids + end)
+                give_back()
                 yield out()
         packer.finish()
         yield out()

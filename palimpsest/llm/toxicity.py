@@ -14,10 +14,10 @@ from sys import intern
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, release, sliced, worker_cache
+from .common import give_back, materialize, release, sliced, worker_cache
 
 #: Longest spelling expression in characters, absolute discount, and the bounds on learning rows.
 ORDER, DISCOUNT, MAX_TOXIC, ORDINARY_EACH = 8, 0.75, 350, 10
@@ -346,6 +346,13 @@ def _counts(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Record
             grams = expressions(words[c], order)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(grams), pa.string()), pa.array(list(grams), pa.string()), pa.array([c] * len(grams), pa.int32()), pa.array(list(grams.values()), pa.int64())], names=["first", "gram", "toxic", "n"])
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs[c]], pa.string()), pa.array([z for _, z in pairs[c]], pa.string()), pa.array([c] * len(pairs[c]), pa.int32()), pa.array(list(pairs[c].values()), pa.int64())], names=["first", "gram", "toxic", "n"])
+    give_back()  # this worker idles while another fits
+
+
+def sample_table(spark: SparkSession, rows: list[Row]) -> DataFrame:
+    """(doc_id, toxic) of the collected rows, through Arrow: a list would be dealt out by a second set of Python workers beside those of the models."""
+    columns = [pa.array([int(x[c]) for x in rows], kind) for c, kind in (("doc_id", pa.int64()), ("toxic", pa.int32()))]
+    return spark.createDataFrame(pa.table(columns, names=["doc_id", "toxic"]))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, order: int = ORDER, cut: float = 0.7) -> Trained:
@@ -362,7 +369,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, order:
     toxic = own.where("toxic = 1").orderBy("order", "doc_id").limit(max_toxic).collect()
     ordinary = own.where("toxic = 0").orderBy("order", "doc_id").limit(ORDINARY_EACH * len(toxic)).collect()
     spark = docs.sparkSession
-    chosen = F.broadcast(spark.createDataFrame([(int(x.doc_id), int(x.toxic)) for x in toxic + ordinary], "doc_id long, toxic int"))
+    chosen = F.broadcast(sample_table(spark, toxic + ordinary))
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").withColumn("held", F.expr("pmod(xxhash64(doc_id, 7), 5) = 0"))
 
     counted = sample.where("not held").select("text", "toxic").mapInArrow(lambda it: _counts(it, order), "first string, gram string, toxic int, n long")
@@ -404,6 +411,7 @@ def _scorer(sent, mark: str) -> Scorer:
     cache = worker_cache(f"toxicity {mark}")
     if "scorer" not in cache:
         cache["scorer"] = Scorer(KneserNey.load(sent.value))
+        give_back()  # the model's own tables, of which the scorer keeps hashes
     return cache["scorer"]
 
 
@@ -426,6 +434,7 @@ def score_texts(docs: DataFrame, trained: Trained, cut: float = 0.7) -> DataFram
         for b in sliced(batches, TEXTS):
             scores = calibration.scores(scorer.ratios(b.column(i).cast(pa.string()).to_pylist()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores), pa.array((scores >= cut).astype(np.int32))], names=[*named, "score", "predicted"])
+            give_back()
 
     return docs.toDF(*named).mapInArrow(run, f"{fields}, score double, predicted int")
 

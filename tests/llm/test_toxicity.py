@@ -2,9 +2,11 @@
 
 import math
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import pyarrow as pa
 import pytest
+from pyspark import SparkContext
 
 from palimpsest.llm import toxicity
 from palimpsest.llm.common import worker_cache
@@ -136,3 +138,22 @@ def test_scorer_keeps_no_second_table():
     """Ratios by expression are kept by hash alone."""
     scorer = toxicity.Scorer(model())
     assert len(scorer.seen[0]) == len(model().seen) and not scorer.model.seen and not scorer.model.after
+
+
+def test_training_starts_no_workers_of_a_list(spark, monkeypatch):
+    docs = spark.range(300).selectExpr("id as doc_id", "concat('plain words of text ', id % 7, if(id % 2 = 0, ' awful', ' kind')) as text")
+    labels = spark.range(300).selectExpr("id as doc_id", "cast(1 - id % 2 as int) as toxic")
+    monkeypatch.setattr(SparkContext, "parallelize", lambda *a, **k: pytest.fail("the sample went through a list, whose Python workers stay beside the models'"))
+    trained = toxicity.train(docs, labels)
+    held = [math.copysign(1, r) for r in toxicity.Scorer(toxicity.KneserNey.load(trained.model)).ratios(["plain words awful", "plain words kind"])]
+    assert held == [1, -1]
+
+
+def test_counting_and_scoring_give_back_freed_memory(monkeypatch):
+    calls = []
+    monkeypatch.setattr(toxicity, "give_back", lambda: calls.append(1), raising=False)
+    list(toxicity._counts(iter([pa.record_batch([["a b", "c"], pa.array([0, 1], pa.int32())], names=["text", "toxic"])]), 3))
+    assert calls
+    del calls[:]
+    toxicity._scorer(SimpleNamespace(value=toxicity.KneserNey(3, {}, {}).dump()), "a mark of its own")
+    assert calls

@@ -74,6 +74,15 @@ def log_of(spark: SparkSession, d: str) -> DataFrame:
     return fold.to_log(fold.fold(ops(spark, d)))
 
 
+def log_once(spark: SparkSession, d: str) -> DataFrame:
+    """The log as a table, for queries that take several slices of it.
+
+    Slices of a log that is not written fold it again each, and as all folds are dealt by key,
+    a union of them has one task hold the sorted rows of every fold at once.
+    """
+    return written(spark, log_of(spark, d), "log")
+
+
 @register(f"{NEWEST} SELECT key, seq, value FROM n WHERE NOT tombstone")
 def kv_snapshot_latest(spark, d):
     return snapshot.latest(log_of(spark, d))
@@ -195,7 +204,7 @@ def log_parallel_page_counts(spark, d):
 
 @register(f"{NEWEST} SELECT seq, key, value FROM n WHERE NOT tombstone AND seq < {HALF} UNION ALL SELECT seq, key, value FROM l WHERE seq >= {HALF}")
 def compaction_live_set(spark, d):
-    return compaction.compact(log_of(spark, d), cut(spark, d, 0.5)).select("seq", "key", "value")
+    return compaction.compact(log_once(spark, d), cut(spark, d, 0.5)).select("seq", "key", "value")
 
 
 @register(
@@ -210,7 +219,7 @@ def compaction_stats(spark, d):
 
 @register("SELECT 0::BIGINT AS mismatches")
 def compaction_preserves(spark, d):
-    log = log_of(spark, d)
+    log = log_once(spark, d)
     a, b = snapshot.latest(log), snapshot.latest(compaction.compact(log, cut(spark, d, 0.5))).toDF("key", "seq2", "value2")
     both = a.join(b, "key", "full_outer")
     return both.agg(F.count_if(~(F.col("seq").eqNullSafe(F.col("seq2")) & F.col("value").eqNullSafe(F.col("value2")))).alias("mismatches"))
@@ -248,7 +257,7 @@ TIERS = f"{LOG}, c AS (SELECT arg_max(value, seq) AS value, arg_max(tombstone, s
 
 
 def tiers(spark, d):
-    log, half = log_of(spark, d), cut(spark, d, 0.5)
+    log, half = log_once(spark, d), cut(spark, d, 0.5)
     return log.where(F.col("seq") >= half), log.where(F.col("seq") < half)
 
 
@@ -303,7 +312,7 @@ def ckpt_incremental_delta(spark, d):
 
 @register(f"{LOG} SELECT key, max(seq) AS seq, arg_max(coalesce(value, -1), seq) AS value FROM l WHERE seq < {THREE} GROUP BY key HAVING NOT arg_max(tombstone, seq)")
 def ckpt_chain_apply(spark, d):
-    log = log_of(spark, d)
+    log = log_once(spark, d)
     a, b, c = (cut(spark, d, s) for s in (0.25, 0.5, 0.75))
     base = snapshot.raw_latest(log.where(F.col("seq") < a)).withColumn("invalid", F.lit(False))
     slices = [checkpoint.delta(log, x, y).select(*base.columns) for x, y in ((a, b), (b, c))]
@@ -312,7 +321,7 @@ def ckpt_chain_apply(spark, d):
 
 @register(f"{LOG} SELECT key, max(seq) AS seq, arg_max(coalesce(value, -1), seq) AS value FROM l WHERE seq < {THREE} GROUP BY key HAVING NOT arg_max(tombstone, seq)")
 def ckpt_store_recover(spark, d):
-    log = written(spark, log_of(spark, d), "log")  # folded once for three checkpoints
+    log = log_once(spark, d)
     kept = checkpoint.CheckpointStore(spark, work_folder(spark, "checkpoints"))
     for share in (0.25, 0.5, 0.75):
         kept.incremental(log, cut(spark, d, share))
@@ -453,7 +462,7 @@ def session_registry(spark, d):
 
 @register(f"{NEWEST} SELECT key, n.seq + CASE WHEN n.seq < {HALF} THEN (SELECT max(event_id) + 1 FROM events) ELSE 0 END AS seq, value FROM n WHERE NOT tombstone")
 def compaction_copy_to_tail(spark, d):
-    out = compaction.copy_to_tail(log_of(spark, d), cut(spark, d, 0.5), cut(spark, d, 1.0))
+    out = compaction.copy_to_tail(log_once(spark, d), cut(spark, d, 0.5), cut(spark, d, 1.0))
     return snapshot.latest(out)
 
 
@@ -498,7 +507,7 @@ def ckpt_log_only_recover(spark, d):
 @register(f"{NEWEST} SELECT key, seq, value FROM n WHERE NOT tombstone")
 def ckpt_index_only_recover(spark, d):
     """The index of the first half, and the rest of the log replayed over it."""
-    log = written(spark, log_of(spark, d), "log")
+    log = log_once(spark, d)
     kept = checkpoint.CheckpointStore(spark, work_folder(spark, "checkpoints"))
     kept.index_only(log, cut(spark, d, 0.5))
     return kept.recover_index_only(log)[0].select("key", "seq", "value")
@@ -506,7 +515,7 @@ def ckpt_index_only_recover(spark, d):
 
 @register(f"{NEWEST} SELECT key, value, CASE WHEN seq >= {HALF} THEN 'hot' ELSE 'cold' END AS tier FROM n WHERE NOT tombstone")
 def ckpt_tiers_recover(spark, d):
-    log = written(spark, log_of(spark, d), "log")
+    log = log_once(spark, d)
     half, end = cut(spark, d, 0.5), cut(spark, d, 1.0)
     kept = checkpoint.CheckpointStore(spark, work_folder(spark, "checkpoints"))
     kept.tiers(log.where(F.col("seq") >= half), log.where(F.col("seq") < half), end)
@@ -580,7 +589,7 @@ def tier_sizes(spark, d):
 
 @register(f"{NEWEST}, a AS (SELECT key, count(*) AS accesses FROM e WHERE op IN ('read', 'rmw') GROUP BY key), g AS (SELECT n.*, NOT tombstone AND coalesce(accesses, 0) >= 27 AS stays FROM n LEFT JOIN a USING (key) WHERE seq < {THREE}) SELECT seq, key, value, tombstone FROM l WHERE seq >= {THREE} UNION ALL SELECT seq + (SELECT max(event_id) + 1 FROM events), key, value, tombstone FROM g WHERE stays")
 def tier_keep_hot(spark, d):
-    return tiering.keep_hot(log_of(spark, d), ops(spark, d), cut(spark, d, 0.75), cut(spark, d, 1.0), 27)[0].select("seq", "key", "value", "tombstone")
+    return tiering.keep_hot(log_once(spark, d), ops(spark, d), cut(spark, d, 0.75), cut(spark, d, 1.0), 27)[0].select("seq", "key", "value", "tombstone")
 
 
 @register("WITH k AS (SELECT DISTINCT o_orderkey AS key FROM orders), b AS (SELECT key % 128 AS b, count(*) AS n, count(*) FILTER (key % 64 <> key % 128) AS moved FROM k GROUP BY 1) SELECT 64::BIGINT AS old_size, 128::BIGINT AS new_size, sum(n)::BIGINT AS entries_migrated, sum(moved)::BIGINT AS entries_moved, count(*) FILTER (n > 7) AS overflow_buckets, 2.0::DOUBLE AS growth_ratio FROM b")
